@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from timberline.fixtures.shapes import Shapes, one_of, text
 from timberline.functions.tags import no_tags
-from timberline.session import table
+from timberline.session import spread, table
 
 # Expressions that Spark and DuckDB read alike.
 PRI = "((event_id % 24) * 8 + cast(floor(event_id / 24) as bigint) % 8)"
@@ -32,7 +32,7 @@ def stamp(ts: str = "ts") -> Column:
 
 def raw_events(spark: SparkSession, folder: str, message: Column, source_type: str, host: Column | None = None) -> DataFrame:
     """Bronze columns with one line per event, next to the event's own columns."""
-    return table(spark, folder, "events").select(
+    return spread(table(spark, folder, "events")).select(
         F.lit(source_type).alias("type"),
         message.alias("message"),
         (host if host is not None else F.lit("relay")).alias("host"),
@@ -494,7 +494,7 @@ PAGE_TIME = "1704067200 + page_id * 61"
 
 
 def _page_events(spark: SparkSession, folder: str, message: Column, source_type: str) -> DataFrame:
-    return table(spark, folder, "pages").select(
+    return spread(table(spark, folder, "pages")).select(
         F.lit(source_type).alias("type"), message.alias("message"), F.expr("'web' || cast(page_id % 5 as string)").alias("host"),
         F.timestamp_seconds(F.expr(PAGE_TIME)).alias("received_at"), F.col("page_id").alias("ingest_seq"), no_tags().alias("tags"),
     )

@@ -8,7 +8,7 @@ All of it stays in generated JVM code.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +43,11 @@ def rewrite(source: Column, patterns: Sequence[LinePattern], layout: Sequence[st
     return F.regexp_replace(source, rf"\A(?:{regex})[\s\S]*\z", "".join(SEP + r for r in refs))
 
 
+def part(parts: str, i: int) -> Column:
+    """The i-th field of a split line; NULL when empty or not there."""
+    return F.nullif(F.get(F.col(parts), F.lit(i)), F.lit(""))
+
+
 def fields_of(
     df: DataFrame,
     rewritten: Column,
@@ -52,12 +57,10 @@ def fields_of(
 ) -> DataFrame:
     """Cut a rewritten line into columns; absent fields and failures are NULL."""
     df = df.withColumn("_parts", F.split(rewritten, SEP))
-    parts = F.col("_parts")
-    cols = {}
-    for i, name in enumerate(layout, 1):
-        value = F.nullif(F.get(parts, F.lit(i)), F.lit(""))
-        cols[name] = value.try_cast("bigint") if name in longs else value
-    cols[ok] = F.coalesce(F.size(parts) == len(layout) + 1, F.lit(False))
+    cols = {n: part("_parts", i) for i, n in enumerate(layout, 1)}
+    for name in longs:
+        cols[name] = cols[name].try_cast("bigint")
+    cols[ok] = F.coalesce(F.size("_parts") == len(layout) + 1, F.lit(False))
     return df.withColumns(cols).drop("_parts")
 
 
@@ -74,5 +77,12 @@ def parse(
     return fields_of(df, rewrite(clean(F.col(source)), patterns, layout), layout, ok, longs=longs)
 
 
+def lookup(values: Mapping, key_type: str = "string") -> Column:
+    """A constant map, for ``try_element_at``: one lookup in place of a long CASE."""
+    pairs = [F.lit(x) for k, v in values.items() for x in (k, v)]
+    keys = [c.cast(key_type) for c in pairs[::2]]
+    return F.create_map(*[c for pair in zip(keys, pairs[1::2]) for c in pair])
+
+
 def matches(source: Column, regex: str) -> Column:
     return F.coalesce(source.rlike(regex), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.extract import SEP, clean, fields_of, layout_of, parse, rewrite
+from timberline.functions.extract import SEP, clean, layout_of, lookup, parse, part, rewrite
 from timberline.functions.grammar import line_pattern, register_pattern
 from timberline.functions.scalar import decode_pri, device_time, flow_hash, seconds_of
 from timberline.functions.tags import failed, has_tag
@@ -100,33 +100,37 @@ FAMILIES = {
     r"Cumulative total count is {drop_total_count:int}",
 }
 
+_HEADER = r"<{syslog_pri:pri}>{timestamp:ciscotime}(?: {sysloghost:iporhost})?: %(?={ciscotag:ciscotag}:)"
+HEADER = line_pattern(_HEADER, at_start=True)
 _ANY = [line_pattern(text) for text in FAMILIES.values()]
-_BY_ID = [
-    line_pattern(rf"%[A-Z0-9]+-[0-9]+-(?:{'|'.join(map(str, ids))}): {text}", at_start=True) for ids, text in FAMILIES.items()
-]
-LAYOUT = layout_of(_ANY)
+# The id leads each family's alternative; the last one takes any other message.
+_IDS = ["|".join(map(str, ids)) for ids in FAMILIES]
+for _n, _ids in enumerate(_IDS):
+    register_pattern(f"asa_ids_{_n}", f"(?:{_ids})")
+_BY_ID = line_pattern(
+    _HEADER
+    + "[A-Z0-9]+-[0-9]+-(?:"
+    + "|".join(f"{{_known:asa_ids_{n}}}: {text}" for n, text in enumerate(FAMILIES.values()))
+    + "|)",
+    at_start=True,
+)
+BODY = layout_of(_ANY)
 LONGS = [
     n
-    for n in LAYOUT
+    for n in BODY
     if n.endswith("_port")
     or n.startswith(("icmp_", "err_icmp_", "connection_", "drop_rate_current", "drop_rate_max"))
     or n in ("hit_count", "bytes", "drop_total_count")
 ]
 
-HEADER = line_pattern(
-    r"<{syslog_pri:pri}>{timestamp:ciscotime}(?: {sysloghost:iporhost})?: %{ciscotag:ciscotag}:", at_start=True
-)
-
 IOS = line_pattern(
     r"{counter:num}?: (?:{logsource:iporhost}: )?(?::?\*)?{device_timestamp:ciscotime}: "
-    r"(?:%{facility:iosfacility}-{severity:iosseverity}-{mnemonic:iosmnemonic}:|{program:ciscoprog}:)? "
+    r"(?:%{facility:iosfacility}-{severity:iosseverity}-{mnemonic:iosmnemonic}: |{program:ciscoprog}: )?"
     r"{device_message:rest}"
 )
 
 
-def parse_asa_header(df: DataFrame) -> DataFrame:
-    """Priority, time, host and message tag; event time from the header."""
-    df = parse(df, HEADER, ok="header", longs=["syslog_pri"])
+def _from_header(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             **decode_pri(F.col("syslog_pri")),
@@ -138,27 +142,37 @@ def parse_asa_header(df: DataFrame) -> DataFrame:
     )
 
 
+def parse_asa_header(df: DataFrame) -> DataFrame:
+    """Priority, time, host and message tag; event time from the header."""
+    return _from_header(parse(df, HEADER, ok="header", longs=["syslog_pri"]))
+
+
 def parse_asa(df: DataFrame) -> DataFrame:
-    """The message body of all 23 families into one set of columns.
+    """Header and body of all 23 families into one set of columns.
 
-    The message id selects the family: it leads each alternative of one regex,
-    so a row fails 22 of them on the id alone.  Only lines without a known id,
-    or whose body does not fit it, try the families in order, as a second regex.
-    All families share one column layout, so one ``split`` serves them all.
-    ``asa_family`` is the family of the id.
+    One regex reads the header and the family: the message id leads each
+    alternative, so a row fails 22 of them on the id alone.  Only lines
+    without a known id, or whose body does not fit it, go on to a second regex that
+    tries the families in order.  All families share one column layout, so
+    one ``split`` serves them all.  ``asa_family`` is the family of the id.
     """
-    df = parse_asa_header(df)
     line = clean(F.col("message"))
-    from_tag = F.regexp_replace(line, r"\A[^%]*", "")
-    df = df.withColumn("_body", rewrite(from_tag, _BY_ID, LAYOUT))
-    body = F.when(F.col("_body").startswith(SEP), F.col("_body")).otherwise(rewrite(line, _ANY, LAYOUT))
-    df = fields_of(df, body, LAYOUT, "parsed", longs=LONGS).drop("_body")
-    family = F.lit(None).cast("string")
-    for ids in FAMILIES:
-        family = F.when(F.col("asa_id").isin(*ids), F.lit("_".join(map(str, ids)))).otherwise(family)
+    layout = [*HEADER.fields, "_known", *BODY]
+    df = df.withColumn("_parts", F.split(rewrite(line, [_BY_ID], layout), SEP))
+    unknown = F.coalesce(part("_parts", layout.index("_known") + 1), F.lit("")) == ""
+    df = df.withColumn("_any", F.when(unknown, F.split(rewrite(line, _ANY, BODY), SEP)))
+    cols = {n: part("_parts", i) for i, n in enumerate(layout, 1) if n != "_known"}
+    for i, name in enumerate(BODY, 1):
+        cols[name] = F.coalesce(cols[name], part("_any", i))
+    for name in ["syslog_pri", *LONGS]:
+        cols[name] = cols[name].try_cast("bigint")
+    cols["header"] = F.coalesce(F.size("_parts") == len(layout) + 1, F.lit(False))
+    cols["parsed"] = ~unknown | F.coalesce(F.size("_any") == len(BODY) + 1, F.lit(False))
+    df = _from_header(df.withColumns(cols).drop("_parts", "_any"))
+    names = {i: "_".join(map(str, ids)) for ids in FAMILIES for i in ids}
     return df.withColumns(
         {
-            "asa_family": family,
+            "asa_family": F.try_element_at(lookup(names, "bigint"), F.col("asa_id")),
             "duration_s": seconds_of(F.col("duration")),
             "tags": failed(F.col("tags"), F.col("header") & F.col("parsed")),
         }

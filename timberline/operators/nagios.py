@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.extract import parse
+from timberline.functions.extract import lookup, parse
 from timberline.functions.grammar import line_pattern, register_pattern
 
 # Record type -> its fields, separated by ``;`` in the line.
@@ -51,30 +51,23 @@ def parse_nagios(df: DataFrame) -> DataFrame:
     command = F.when(F.col("nagios_type") == COMMAND, F.substring_index("_rest", ";", 1))
     kind = F.coalesce(command, "nagios_type")
     df = df.withColumn("_kind", F.when(command.isNotNull() & ~command.isin(*COMMANDS), F.lit("")).otherwise(kind))
-
-    shapes = {**RECORDS, **COMMANDS, "": OTHER_COMMAND}
-    shapes = {kind: names.split() for kind, names in shapes.items()}
-    limit = F.lit(0)
-    for kind, names in shapes.items():
-        limit = F.when(F.col("_kind") == kind, F.lit(len(names))).otherwise(limit)
+    shapes = {kind: names.split() for kind, names in {**RECORDS, **COMMANDS, "": OTHER_COMMAND}.items()}
+    names = list(dict.fromkeys(n for fields in shapes.values() for n in fields))
+    limit = F.try_element_at(lookup({kind: len(fields) for kind, fields in shapes.items()}), F.col("_kind"))
+    # Where each field stands in the line of a kind; -1 where it has none.
+    places = {kind: [fields.index(n) if n in fields else -1 for n in names] for kind, fields in shapes.items()}
     # A transition ends with ``;``: the empty field behind it is not the rest.
     rest = F.when(F.col("_kind") == "TIMEPERIOD TRANSITION", F.regexp_replace("_rest", ";$", "")).otherwise(F.col("_rest"))
-    df = df.withColumns({"_limit": limit, "_cells": F.split(rest, ";", limit)})
+    df = df.withColumns({"_limit": F.coalesce(limit, F.lit(0)), "_places": F.try_element_at(lookup(places), F.col("_kind"))})
+    df = df.withColumn("_cells", F.split(rest, ";", F.col("_limit")))
 
-    full = (F.size("_cells") == F.col("_limit")) | (F.col("_kind") == "")
-    names = dict.fromkeys(n for fields in shapes.values() for n in fields)
-    out: dict[str, Column] = {}
-    for name in names:
-        value = F.lit(None).cast("string")
-        for kind, fields in shapes.items():
-            if name in fields:
-                cell = F.get("_cells", F.lit(fields.index(name)))
-                value = F.when(F.col("_kind") == kind, cell).otherwise(value)
-        if name == "message":
-            value = F.coalesce("_warning", value)
-        out[f"nagios_{name}"] = F.nullif(F.when(full | F.col("_warning").isNotNull(), value), F.lit(""))
+    full = F.coalesce((F.size("_cells") == F.col("_limit")) | (F.col("_kind") == ""), F.lit(False))
+    df = df.withColumns(
+        {"_cells": F.when(full, F.col("_cells")), "parsed": F.col("_line") & (full | F.col("_warning").isNotNull())}
+    )
+    out = {f"nagios_{n}": F.nullif(F.get("_cells", F.get("_places", F.lit(i))), F.lit("")) for i, n in enumerate(names)}
+    out["nagios_message"] = F.coalesce("_warning", out["nagios_message"])
     for name in ("attempt", "start_time", "end_time", "fixed", "trigger_id", "duration"):
         out[f"nagios_{name}"] = out[f"nagios_{name}"].try_cast("bigint")
     out["nagios_epoch"] = F.col("nagios_epoch").try_cast("bigint")
-    out["parsed"] = F.col("_line") & F.coalesce(full | F.col("_warning").isNotNull(), F.lit(False))
-    return df.withColumns(out).drop("_line", "_warning", "_rest", "_kind", "_limit", "_cells")
+    return df.withColumns(out).drop("_line", "_warning", "_rest", "_kind", "_limit", "_places", "_cells")

@@ -7,8 +7,11 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Settings that decide results, and runtime re-planning.
+# Settings that decide results, runtime re-planning, and a limit
+# that keeps generated methods small enough for the JVM to compile (it leaves
+# methods over 8000 bytes to its interpreter, which halves the speed of wide parsers).
 SETTINGS = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -29,6 +32,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("timestamp") for n in local}) if local else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for work that is heavy per row.
+
+    A small table in one row group is read by one task.  Tables with at least as
+    many read tasks as cores are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def latest(df: DataFrame, column: str) -> dt.datetime:
     """The newest time of a column: one number for the driver, from file statistics."""
     text = df.agg(F.date_format(F.max(column), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t")).first()["t"]

@@ -282,7 +282,7 @@ def date_parse_formats(spark, folder):
 
 
 # --- firewalls ----------------------------------------------------------------
-_ASA_FIELDS = cisco.LAYOUT
+_ASA_FIELDS = cisco.BODY
 _FAMILY = {i: "_".join(map(str, ids)) for i, ids in enumerate(cisco.FAMILIES)}
 _FAMILY_SQL = "(CASE event_id % 23 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in _FAMILY.items()) + " END)"
 _ASA_EXTRA = {

@@ -170,10 +170,10 @@ def panel_histogram_zerofill(spark, folder):
 
 @query(
     "panel_histogram_auto",
-    f"""WITH {_SERIES}, spans AS (SELECT unnest(['12h', '24h', '7d', '30d']) AS span, unnest([43200, 86400, 604800, 2592000]) AS secs, unnest([300, 600, 3600, 43200]) AS width),
+    f"""WITH {_SERIES}, spans AS (SELECT unnest(['12h', '24h', '7d', '30d']) AS span, unnest([43200, 86400, 604800, 2592000]) AS secs, unnest([300, 600, 3600, 10800]) AS width),
     m AS (SELECT max(ts) AS as_of FROM events)
-    SELECT span, series, strftime(make_timestamp(cast(floor(epoch(ts) / width) as bigint) * width * 1000000), '{SECOND}') AS bucket, count(*) AS n
-    FROM series, spans, m WHERE series = 'all' AND epoch_us(ts) >= epoch_us(as_of) - secs * 1000000 GROUP BY ALL""",
+    SELECT span, series, strftime(make_timestamp(cast(floor(epoch(ts) / width) as bigint) * width::BIGINT * 1000000), '{SECOND}') AS bucket, count(*) AS n
+    FROM series, spans, m WHERE series = 'all' AND epoch_us(ts) >= epoch_us(as_of) - secs::BIGINT * 1000000 GROUP BY ALL""",
 )
 def panel_histogram_auto(spark, folder):
     """One scan: each event is put in the buckets of every range that holds it."""
