@@ -330,7 +330,7 @@ def iptables_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 PAN = Shapes(
     "(event_id % 2)", OPTIONAL, {"nas_port": f"('eth' || {text('user_id')})", "id": text("event_id")},
-    [" 1,{id},TRAFFIC,end,{nas_port}", " 1,{id},THREAT,url,{nas_port}"],
+    [" {nas_port},{id},TRAFFIC,end", " {nas_port},{id},THREAT,url"],
 )
 
 

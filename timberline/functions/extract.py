@@ -43,6 +43,16 @@ def rewrite(source: Column, patterns: Sequence[LinePattern], layout: Sequence[st
     return F.regexp_replace(source, rf"\A(?:{regex})[\s\S]*\z", "".join(SEP + r for r in refs))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once per row.
+
+    Spark moves filters on a projected column in front of the projection and
+    repeats its expression there, which for a large regex means to match every
+    line several times.  It does not move filters through ``explode``, here over one element.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def part(parts: str, i: int) -> Column:
     """The i-th field of a split line; NULL when empty or not there."""
     return F.nullif(F.get(F.col(parts), F.lit(i)), F.lit(""))
@@ -56,7 +66,7 @@ def fields_of(
     longs: Sequence[str] = (),
 ) -> DataFrame:
     """Cut a rewritten line into columns; absent fields and failures are NULL."""
-    df = df.withColumn("_parts", F.split(rewritten, SEP))
+    df = once(df, "_parts", F.split(rewritten, SEP))
     cols = {n: part("_parts", i) for i, n in enumerate(layout, 1)}
     for name in longs:
         cols[name] = cols[name].try_cast("bigint")

@@ -59,7 +59,8 @@ def zero_fill(counts: DataFrame, start: dt.datetime, end: dt.datetime, interval:
     step = _STEP.get(interval, f"INTERVAL {INTERVALS[interval]} SECONDS")
     first, last = (bucket(F.lit(t).cast("timestamp"), interval) for t in (start, end))
     grid = (
-        spark.createDataFrame([(n,) for n in names], "series string")
+        spark.range(1)
+        .select(F.explode(F.array(*[F.lit(n) for n in names])).alias("series"))
         .withColumn("bucket", F.explode(F.sequence(first, last, F.expr(step))))
         .withColumn("n", F.lit(0).cast("bigint"))
     )
@@ -270,10 +271,12 @@ def panel_bundle(
         size = F.when(F.col("panel") == panel, F.lit(n)).otherwise(size)
 
     expanded = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
-    counts = expanded.groupBy("panel", "series", "key").agg(F.count("*").alias("n"))
-    ranked = F.col("panel").isin(*terms)
+    # As an aggregate, the mark cannot be pushed below the count: both uses share one shuffle.
+    is_term = F.max(F.col("panel").isin(*terms)).alias("_ranked")
+    counts = expanded.groupBy("panel", "series", "key").agg(F.count("*").alias("n"), is_term)
+    ranked = F.col("_ranked")
     rank = F.row_number().over(Window.partitionBy("panel").orderBy(F.desc("n"), F.asc("key")))
     largest = max(n for _, n, _ in terms.values())
     top = counts.filter(ranked).withColumn("_rank", rank).filter(F.col("_rank") <= largest)
     top = top.filter(F.col("_rank") <= size).drop("_rank")
-    return counts.filter(~ranked).unionByName(top)
+    return counts.filter(~ranked).unionByName(top).drop("_ranked")

@@ -80,8 +80,12 @@ POLICIES = {
 
 
 def policy_table(spark: SparkSession, policies: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
-    rows = [(family, *days) for family, days in (policies or POLICIES).items()]
-    return spark.createDataFrame(rows, "index_family string, optimize_days int, close_days int, delete_days int")
+    names = ["index_family", "optimize_days", "close_days", "delete_days"]
+    rows = [
+        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (family, *days))])
+        for family, days in (policies or POLICIES).items()
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def daily_partitions(df: DataFrame) -> DataFrame:

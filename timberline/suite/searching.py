@@ -422,10 +422,11 @@ _OK = "event_id % 50 <> 0"
 )
 def dashboard_central(spark, folder):
     """Raw syslog lines to the central dashboard's panels."""
-    raw = L.syslog_lines(spark, folder).withColumn("received_at", F.date_trunc("second", "received_at"))
-    as_of = latest(raw, "received_at")
-    # An event arrives after it happened, at most a day late: older arrivals cannot be in the range.
+    as_of = latest(table(spark, folder, "events"), "ts").replace(microsecond=0)
+    raw = L.syslog_lines(spark, folder)
+    # No line arrives before it happened: arrivals older than the range cannot be in it.
     raw = raw.filter(F.col("received_at") >= F.lit(as_of - S.TIME_RANGES[CENTRAL.span]))
+    raw = raw.withColumn("received_at", F.date_trunc("second", "received_at"))
     df = syslog.parse_syslog(raw.withColumn("tags", tags_by_type(F.col("type"), F.col("tags"))))
     return CENTRAL.panels(df, as_of)
 
@@ -456,7 +457,7 @@ _GOOD = f"NOT ({L.CORRUPT})"
 )
 def dashboard_windows(spark, folder):
     raw = L.eventlog_lines(spark, folder)
-    return WINDOWS.panels(windows.normalize_eventlog(raw), latest(raw, "received_at"))
+    return WINDOWS.panels(windows.normalize_eventlog(raw), latest(table(spark, folder, "events"), "ts"))
 
 
 @query(
@@ -475,4 +476,4 @@ def dashboard_windows(spark, folder):
 )
 def dashboard_lockouts(spark, folder):
     raw = L.eventlog_lines(spark, folder)
-    return LOCKOUTS.panels(windows.normalize_eventlog(raw), latest(raw, "received_at"))
+    return LOCKOUTS.panels(windows.normalize_eventlog(raw), latest(table(spark, folder, "events"), "ts"))
