@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from timberline.functions.extract import quoted
+
 _MARK = re.compile(r"\[\[(.*?)\]\]|\{(\w+)\}")
 
 
@@ -29,20 +31,20 @@ def one_of(selector: str, values: Sequence[str]) -> str:
     return f"(CASE {selector} {whens} END)"
 
 
-def _pieces(shape: str, fields: Mapping[str, str], optional: Column | None) -> list[Column]:
+def _written(shape: str, fields: Mapping[str, str], optional: str) -> str:
+    """Spark SQL that writes a shape."""
     out, at = [], 0
     for m in _MARK.finditer(shape):
         if m.start() > at:
-            out.append(F.lit(shape[at : m.start()]))
+            out.append(quoted(shape[at : m.start()]))
         if m[1] is not None:
-            part = F.concat(*_pieces(m[1], fields, None))
-            out.append(F.when(optional, part).otherwise(F.lit("")))
+            out.append(f"(CASE WHEN {optional} THEN {_written(m[1], fields, optional)} ELSE '' END)")
         else:
-            out.append(F.expr(fields[m[2]]))
+            out.append(fields[m[2]])
         at = m.end()
     if at < len(shape):
-        out.append(F.lit(shape[at:]))
-    return out
+        out.append(quoted(shape[at:]))
+    return " || ".join(out)
 
 
 @dataclass
@@ -64,12 +66,8 @@ class Shapes:
         ]
 
     def line(self) -> Column:
-        out = F.lit(None).cast("string")
-        optional = F.expr(self.optional)
-        for i, (shape, fields) in enumerate(self._parsed):
-            value = F.concat(*_pieces(shape, fields, optional))
-            out = F.when(F.expr(f"{self.selector} = {i}"), value).otherwise(out)
-        return out
+        whens = [f"WHEN {i} THEN {_written(*parsed, self.optional)}" for i, parsed in enumerate(self._parsed)]
+        return F.expr(f"CASE {self.selector} {' '.join(whens)} END")
 
     def expected(self, name: str, cast: str = "string", absent: Sequence[str] = ("",)) -> str:
         """DuckDB SQL for the value a parser has to find in field ``name``."""

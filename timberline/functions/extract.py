@@ -53,9 +53,14 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def part(parts: str, i: int) -> Column:
-    """The i-th field of a split line; NULL when empty or not there."""
-    return F.nullif(F.get(F.col(parts), F.lit(i)), F.lit(""))
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def part(parts: str, i: int) -> str:
+    """SQL for the i-th field of a split line; NULL when empty or not there."""
+    return f"nullif(get({parts}, {i}), '')"
 
 
 def fields_of(
@@ -68,10 +73,16 @@ def fields_of(
     """Cut a rewritten line into columns; absent fields and failures are NULL."""
     df = once(df, "_parts", F.split(rewritten, SEP))
     cols = {n: part("_parts", i) for i, n in enumerate(layout, 1)}
-    for name in longs:
-        cols[name] = cols[name].try_cast("bigint")
-    cols[ok] = F.coalesce(F.size("_parts") == len(layout) + 1, F.lit(False))
-    return df.withColumns(cols).drop("_parts")
+    cols[ok] = f"coalesce(size(_parts) = {len(layout) + 1}, false)"
+    return df.withColumns(typed(cols, longs)).drop("_parts")
+
+
+def typed(cols: Mapping[str, str], longs: Sequence[str]) -> dict[str, Column]:
+    """Columns of SQL texts; ``longs`` become numbers, NULL where they are none.
+
+    SQL text, as each call into the JVM costs time and a wide line has many fields.
+    """
+    return {n: F.expr(f"try_cast({sql} as bigint)" if n in longs else sql) for n, sql in cols.items()}
 
 
 def parse(
@@ -87,11 +98,15 @@ def parse(
     return fields_of(df, rewrite(clean(F.col(source)), patterns, layout), layout, ok, longs=longs)
 
 
-def lookup(values: Mapping, key_type: str = "string") -> Column:
+def lookup(values: Mapping) -> Column:
     """A constant map, for ``try_element_at``: one lookup in place of a long CASE."""
-    pairs = [F.lit(x) for k, v in values.items() for x in (k, v)]
-    keys = [c.cast(key_type) for c in pairs[::2]]
-    return F.create_map(*[c for pair in zip(keys, pairs[1::2]) for c in pair])
+
+    def sql(v: object) -> str:
+        if isinstance(v, list):
+            return f"array({', '.join(map(sql, v))})"
+        return quoted(v) if isinstance(v, str) else str(v)
+
+    return F.expr(f"map({', '.join(sql(x) for pair in values.items() for x in pair)})")
 
 
 def matches(source: Column, regex: str) -> Column:

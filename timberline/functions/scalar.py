@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from timberline.functions.extract import lookup
 from timberline.functions.grammar import block
 
 # RFC 5424 tables 1 and 2, with the labels log indexers use.
@@ -30,8 +31,8 @@ def decode_pri(pri: Column, default: int | None = DEFAULT_PRI) -> dict[str, Colu
     return {
         "syslog_facility_code": facility.cast("bigint"),
         "syslog_severity_code": severity.cast("bigint"),
-        "syslog_facility": F.get(F.array(*map(F.lit, FACILITIES)), facility),
-        "syslog_severity": F.get(F.array(*map(F.lit, SEVERITIES)), severity),
+        "syslog_facility": F.try_element_at(lookup(dict(enumerate(FACILITIES))), facility),
+        "syslog_severity": F.try_element_at(lookup(dict(enumerate(SEVERITIES))), severity),
     }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.extract import SEP, clean, layout_of, lookup, once, parse, part, rewrite
+from timberline.functions.extract import SEP, clean, layout_of, lookup, once, parse, part, rewrite, typed
 from timberline.functions.grammar import line_pattern, register_pattern
 from timberline.functions.scalar import decode_pri, device_time, flow_hash, seconds_of
 from timberline.functions.tags import failed, has_tag
@@ -159,20 +159,19 @@ def parse_asa(df: DataFrame) -> DataFrame:
     line = clean(F.col("message"))
     layout = [*HEADER.fields, "_known", *BODY]
     df = once(df, "_parts", F.split(rewrite(line, [_BY_ID], layout), SEP))
-    unknown = F.coalesce(part("_parts", layout.index("_known") + 1), F.lit("")) == ""
-    df = once(df, "_any", F.when(unknown, F.split(rewrite(line, _ANY, BODY), SEP)))
+    unknown = f"{part('_parts', layout.index('_known') + 1)} IS NULL"
+    df = once(df, "_any", F.when(F.expr(unknown), F.split(rewrite(line, _ANY, BODY), SEP)))
     cols = {n: part("_parts", i) for i, n in enumerate(layout, 1) if n != "_known"}
     for i, name in enumerate(BODY, 1):
-        cols[name] = F.coalesce(cols[name], part("_any", i))
-    for name in ["syslog_pri", *LONGS]:
-        cols[name] = cols[name].try_cast("bigint")
-    cols["header"] = F.coalesce(F.size("_parts") == len(layout) + 1, F.lit(False))
-    cols["parsed"] = ~unknown | F.coalesce(F.size("_any") == len(BODY) + 1, F.lit(False))
+        cols[name] = f"coalesce({cols[name]}, {part('_any', i)})"
+    cols["header"] = f"coalesce(size(_parts) = {len(layout) + 1}, false)"
+    cols["parsed"] = f"NOT ({unknown}) OR coalesce(size(_any) = {len(BODY) + 1}, false)"
+    cols = typed(cols, ["syslog_pri", *LONGS])
     df = _from_header(df.withColumns(cols).drop("_parts", "_any"))
     names = {i: "_".join(map(str, ids)) for ids in FAMILIES for i in ids}
     return df.withColumns(
         {
-            "asa_family": F.try_element_at(lookup(names, "bigint"), F.col("asa_id")),
+            "asa_family": F.try_element_at(lookup(names), F.col("asa_id").cast("int")),
             "duration_s": seconds_of(F.col("duration")),
             "tags": failed(F.col("tags"), F.col("header") & F.col("parsed")),
         }

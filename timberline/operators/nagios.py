@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.extract import lookup, parse
+from timberline.functions.extract import lookup, parse, typed
 from timberline.functions.grammar import line_pattern, register_pattern
 
 # Record type -> its fields, separated by ``;`` in the line.
@@ -65,9 +65,9 @@ def parse_nagios(df: DataFrame) -> DataFrame:
     df = df.withColumns(
         {"_cells": F.when(full, F.col("_cells")), "parsed": F.col("_line") & (full | F.col("_warning").isNotNull())}
     )
-    out = {f"nagios_{n}": F.nullif(F.get("_cells", F.get("_places", F.lit(i))), F.lit("")) for i, n in enumerate(names)}
-    out["nagios_message"] = F.coalesce("_warning", out["nagios_message"])
-    for name in ("attempt", "start_time", "end_time", "fixed", "trigger_id", "duration"):
-        out[f"nagios_{name}"] = out[f"nagios_{name}"].try_cast("bigint")
+    out = {f"nagios_{n}": f"nullif(get(_cells, get(_places, {i})), '')" for i, n in enumerate(names)}
+    out["nagios_message"] = f"coalesce(_warning, {out['nagios_message']})"
+    numbers = ["attempt", "start_time", "end_time", "fixed", "trigger_id", "duration"]
+    out = typed(out, [f"nagios_{n}" for n in numbers])
     out["nagios_epoch"] = F.col("nagios_epoch").try_cast("bigint")
     return df.withColumns(out).drop("_line", "_warning", "_rest", "_kind", "_limit", "_places", "_cells")

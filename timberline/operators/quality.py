@@ -42,15 +42,19 @@ def unmatched_prefixes(df: DataFrame, length: int = 20, size: int = 10) -> DataF
     return counts.withColumn("rank", rank).filter(F.col("rank") <= size)
 
 
-def entities(df: DataFrame, text: str, kinds: dict[str, str] | None = None) -> DataFrame:
+# Kind -> a sign that must be in the text, and the block to find.
+ENTITIES = {"ip": (".", "ipv4"), "uuid": ("-", "uuid"), "url": ("://", "uri")}
+
+
+def entities(df: DataFrame, text: str, kinds: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """One row per address, UUID or URL found in a text, in one scan."""
-    kinds = kinds or {"ip": block("ipv4"), "uuid": block("uuid"), "url": block("uri")}
-    found = [
-        F.struct(
-            F.lit(kind).alias("kind"), F.regexp_extract_all(F.col(text), F.lit(f"({regex})"), F.lit(1)).alias("values")
+    kinds = kinds or ENTITIES
+    found = []
+    for kind, (sign, regex) in kinds.items():
+        values = F.regexp_extract_all(F.col(text), F.lit(f"({block(regex)})"), F.lit(1))
+        found.append(
+            F.struct(F.lit(kind).alias("kind"), F.when(F.col(text).contains(sign), values).alias("values"))
         )
-        for kind, regex in kinds.items()
-    ]
     names = [c for c in df.columns if c != text]
     per_kind = df.select(*names, F.inline(F.array(*found)))
     return per_kind.select(*names, "kind", F.explode("values").alias("value"))

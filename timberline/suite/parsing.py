@@ -27,7 +27,7 @@ from timberline.functions.scalar import (
 from timberline.functions.tags import tags_by_type
 from timberline.operators import cisco, databases, enrich, firewall, multiline, nagios, quality, syslog, vmware, web, windows
 from timberline.plans.indexing import PARSERS, index_events
-from timberline.session import table
+from timberline.session import spread, table
 from timberline.sources.template import apply_template, prune, prune_mixed
 from timberline.suite import query, register
 
@@ -610,7 +610,7 @@ def host_resolve(spark, folder):
     ) GROUP BY ALL""",
 )
 def entity_extract(spark, folder):
-    found = quality.entities(table(spark, folder, "documents").select("doc_id", "text"), "text")
+    found = quality.entities(spread(table(spark, folder, "documents").select("doc_id", "text")), "text")
     return found.groupBy("doc_id", "kind", "value").agg(F.count("*").alias("n"))
 
 

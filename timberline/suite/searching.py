@@ -12,7 +12,7 @@ from timberline.functions.tags import tags_by_type
 from timberline.operators import panels as P
 from timberline.operators import syslog, windows
 from timberline.plans.dashboards import CENTRAL, LOCKOUTS, WINDOWS
-from timberline.session import latest, table
+from timberline.session import latest, spread, table
 from timberline.suite import query
 from timberline.suite.parsing import geo_events, second
 
@@ -64,7 +64,7 @@ _BOUNDARY = r"(^|[^0-9A-Za-z_])"
 def _texts(spark, folder):
     docs = table(spark, folder, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     talks = table(spark, folder, "conversations").select(F.lit("talk").alias("kind"), F.col("conv_id").alias("id"), "text")
-    return docs.unionByName(talks)
+    return spread(docs).unionByName(spread(talks))
 
 
 _TEXTS = "t AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'talk', conv_id, text FROM conversations)"
@@ -438,6 +438,13 @@ _WINDOWS_SOURCE = (
 _GOOD = f"NOT ({L.CORRUPT})"
 
 
+def _windows_dashboard(board, spark, folder):
+    as_of = latest(table(spark, folder, "events"), "ts")
+    raw = L.eventlog_lines(spark, folder)
+    raw = raw.filter(F.col("received_at") >= F.lit(as_of - S.TIME_RANGES[board.span]))
+    return board.panels(windows.normalize_eventlog(raw), as_of)
+
+
 @query(
     "dashboard_windows",
     _panel_sql(
@@ -456,8 +463,7 @@ _GOOD = f"NOT ({L.CORRUPT})"
     ),
 )
 def dashboard_windows(spark, folder):
-    raw = L.eventlog_lines(spark, folder)
-    return WINDOWS.panels(windows.normalize_eventlog(raw), latest(table(spark, folder, "events"), "ts"))
+    return _windows_dashboard(WINDOWS, spark, folder)
 
 
 @query(
@@ -475,5 +481,4 @@ def dashboard_windows(spark, folder):
     ),
 )
 def dashboard_lockouts(spark, folder):
-    raw = L.eventlog_lines(spark, folder)
-    return LOCKOUTS.panels(windows.normalize_eventlog(raw), latest(table(spark, folder, "events"), "ts"))
+    return _windows_dashboard(LOCKOUTS, spark, folder)
