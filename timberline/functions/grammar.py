@@ -57,6 +57,7 @@ BLOCKS: dict[str, str] = {
     "iporhost": r"(?:{:hostname}|{:ip})",
     "hostport": r"(?:{:iporhost}:{:posint})",
     "ipprotocol": r"(?:tcp|udp|icmp)",
+    "email": r"(?<![a-zA-Z0-9._-])[a-zA-Z0-9._-]++@{:label}(?:\.{:label})++",
     # paths and addresses of resources
     "unixpath": r"/[\w%!$@:.,+~/-]*+",
     "winpath": r"(?:[A-Za-z]+:|\\)(?:\\[^\\?*]*+)++",
@@ -79,6 +80,7 @@ BLOCKS: dict[str, str] = {
     "minute": r"[0-5][0-9]",
     "second": r"(?:[0-5][0-9]|60)(?:[:.,][0-9]+)?",
     "time": r"(?<![0-9]){:hour}:{:minute}:{:second}(?![0-9])",
+    "clock": r"[0-9]+:{:minute}:{:second}",
     "date_us": r"{:monthnum}[/-]{:monthday}[/-]{:year}",
     "date_eu": r"{:monthday}[./-]{:monthnum}[./-]{:year}",
     "date": r"(?:{:date_us}|{:date_eu})",
@@ -132,7 +134,9 @@ class LinePattern:
     """A Java regex and, per numbered group, the field it fills.
 
     A field may appear more than once when the groups exclude each other
-    (two timestamp forms, for instance): the group that took part wins.
+    (two timestamp forms, for instance): the group that took part wins.  Groups
+    inside a look-ahead are no good for that: Java keeps their text when the
+    alternative around them fails later.
     """
 
     regex: str

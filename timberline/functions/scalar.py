@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,3 +122,9 @@ def url_parts(url: Column) -> dict[str, Column]:
         "path": some(F.regexp_extract(tail, r"^[^?#]*", 0)),
         "params": some(F.regexp_extract(tail, r"^[^?#]*(\?[^#]*)", 1)),
     }
+
+
+def interpolate(template: str) -> Column:
+    """Text with ``%{field}`` marks; NULL when a field is NULL."""
+    pieces = re.split(r"%\{([^}]+)\}", template)
+    return F.concat(*[F.col(p).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(pieces)])

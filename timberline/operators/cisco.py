@@ -62,7 +62,7 @@ FAMILIES = {
     (302013, 302014, 302015, 302016): r"{action:asa_action}(?: {direction:asa_direction})? {protocol:word} connection "
     r"{connection_id:int} for " + _endpoint("src") + r"(?: \({src_mapped_ip:ip}/{src_mapped_port:int}\))?"
     + _user("src_fwuser") + " to " + _endpoint("dst") + r"(?: \({dst_mapped_ip:ip}/{dst_mapped_port:int}\))?"
-    + _user("dst_fwuser") + r"(?: duration {duration:time} bytes {bytes:int})?(?: {reason:asa_reason})?"
+    + _user("dst_fwuser") + r"(?: duration {duration:clock} bytes {bytes:int})?(?: {reason:asa_reason})?"
     r"(?: \({user:data}\))?",
     (302020, 302021): r"{action:asa_action}(?: {direction:asa_direction})? {protocol:word} connection for "
     r"faddr {dst_ip:ip}/{icmp_seq_num:int}(?:\({fwuser:data}\))? gaddr {src_xlated_ip:ip}/{icmp_code_xlated:int} "
@@ -100,20 +100,16 @@ FAMILIES = {
     r"Cumulative total count is {drop_total_count:int}",
 }
 
-_HEADER = r"<{syslog_pri:pri}>{timestamp:ciscotime}(?: {sysloghost:iporhost})?: %(?={ciscotag:ciscotag}:)"
-HEADER = line_pattern(_HEADER, at_start=True)
+_HEADER = r"<{syslog_pri:pri}>{timestamp:ciscotime}(?: {sysloghost:iporhost})?: %"
+HEADER = line_pattern(_HEADER + "{ciscotag:ciscotag}:", at_start=True)
 _ANY = [line_pattern(text) for text in FAMILIES.values()]
-# The id leads each family's alternative; the last one takes any other message.
-_IDS = ["|".join(map(str, ids)) for ids in FAMILIES]
-for _n, _ids in enumerate(_IDS):
-    register_pattern(f"asa_ids_{_n}", f"(?:{_ids})")
-_BY_ID = line_pattern(
-    _HEADER
-    + "[A-Z0-9]+-[0-9]+-(?:"
-    + "|".join(f"{{_known:asa_ids_{n}}}: {text}" for n, text in enumerate(FAMILIES.values()))
-    + "|)",
-    at_start=True,
-)
+# The tag with a family's ids leads its alternative; the last one takes any other tag.
+_ALTERNATIVES = []
+for _ids, _text in FAMILIES.items():
+    _tag = "asa_tag_" + "_".join(map(str, _ids))
+    register_pattern(_tag, rf"[A-Z0-9]+-[0-9]+-(?:{'|'.join(map(str, _ids))})")
+    _ALTERNATIVES.append(f"{{ciscotag:{_tag}}}: {_text}")
+_BY_ID = line_pattern(_HEADER + f"(?:{'|'.join(_ALTERNATIVES)}|{{_other:ciscotag}}:)", at_start=True)
 BODY = layout_of(_ANY)
 LONGS = [
     n
@@ -157,11 +153,13 @@ def parse_asa(df: DataFrame) -> DataFrame:
     one ``split`` serves them all.  ``asa_family`` is the family of the id.
     """
     line = clean(F.col("message"))
-    layout = [*HEADER.fields, "_known", *BODY]
+    layout = [*HEADER.fields, "_other", *BODY]
     df = once(df, "_parts", F.split(rewrite(line, [_BY_ID], layout), SEP))
-    unknown = f"{part('_parts', layout.index('_known') + 1)} IS NULL"
+    at = {n: i for i, n in enumerate(layout, 1)}
+    unknown = f"{part('_parts', at['ciscotag'])} IS NULL"
     df = once(df, "_any", F.when(F.expr(unknown), F.split(rewrite(line, _ANY, BODY), SEP)))
-    cols = {n: part("_parts", i) for i, n in enumerate(layout, 1) if n != "_known"}
+    cols = {n: part("_parts", i) for n, i in at.items() if n != "_other"}
+    cols["ciscotag"] = f"coalesce({cols['ciscotag']}, {part('_parts', at['_other'])})"
     for i, name in enumerate(BODY, 1):
         cols[name] = f"coalesce({cols[name]}, {part('_any', i)})"
     cols["header"] = f"coalesce(size(_parts) = {len(layout) + 1}, false)"

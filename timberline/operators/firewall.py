@@ -44,12 +44,13 @@ def parse_iptables(df: DataFrame) -> DataFrame:
 
 
 def parse_pan(df: DataFrame) -> DataFrame:
-    """Palo Alto lines: traffic or not, log time, network port name."""
+    """Palo Alto lines: traffic or not, log time, network port name, and the rest as command."""
     message = F.col("message")
     return df.withColumns(
         {
             "is_traffic": matches(message, ",TRAFFIC,"),
             "pan_time": F.nullif(F.regexp_extract(message, f"({block('patime')})", 1), F.lit("")),
+            "command": F.nullif(F.regexp_extract(message, f"{block('patime')} ({block('command')})", 1), F.lit("")),
             "nas_port": F.nullif(F.regexp_extract(message, rf"\b({block('nasport')})\b", 1), F.lit("")),
         }
     )

@@ -50,6 +50,24 @@ def histogram(df: DataFrame, interval: str, series: str = "series", ts: str = "e
     return df.groupBy(series, bucket(F.col(ts), interval).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+# What a histogram can show of a field, per bucket.
+MODES = {"count": F.count, "min": F.min, "mean": F.avg, "max": F.max, "total": F.sum}
+
+
+def value_histogram(
+    df: DataFrame,
+    interval: str,
+    value: str,
+    modes: Sequence[str] = ("mean",),
+    scale: float = 1,
+    series: str = "series",
+    ts: str = "event_ts",
+) -> DataFrame:
+    """Statistics of a field per bucket and series, times ``scale``, one column per mode."""
+    shown = [(MODES[m](value) * scale).alias(m) for m in modes]
+    return df.groupBy(series, bucket(F.col(ts), interval).alias("bucket")).agg(*shown)
+
+
 def zero_fill(counts: DataFrame, start: dt.datetime, end: dt.datetime, interval: str, names: Sequence[str]) -> DataFrame:
     """Every bucket of the visible range for every series, absent ones as 0.
 

@@ -43,7 +43,7 @@ def unmatched_prefixes(df: DataFrame, length: int = 20, size: int = 10) -> DataF
 
 
 # Kind -> a sign that must be in the text, and the block to find.
-ENTITIES = {"ip": (".", "ipv4"), "uuid": ("-", "uuid"), "url": ("://", "uri")}
+ENTITIES = {"ip": (".", "ipv4"), "uuid": ("-", "uuid"), "url": ("://", "uri"), "user": ("@", "email")}
 
 
 def entities(df: DataFrame, text: str, kinds: dict[str, tuple[str, str]] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from timberline.functions.tags import add_tags, failed, no_tags
 
 BSD = [
     line_pattern(
-        r"<{syslog_pri:pri}>(?={:space}{message_remainder:rest}){syslog_timestamp:syslogtime} "
+        r"<{syslog_pri:pri}>{syslog_timestamp:syslogtime} "
         r"{syslog_hostname:iporhost} {syslog_program:data}(?:\[{syslog_pid:posint}\])?: {syslog_message:rest}"
     ),
     line_pattern(r"<{syslog_pri:pri}>{:space}{message_remainder:rest}"),
@@ -68,11 +68,13 @@ def parse_syslog(df: DataFrame) -> DataFrame:
     ``message_remainder``, and is tagged as a parse failure.
     """
     df = parse(df.withColumn("syslog_raw_message", F.col("message")), BSD, ok="_any", longs=["syslog_pri"])
-    ok = F.col("syslog_message").isNotNull() | F.col("syslog_hostname").isNotNull()
+    ok = F.col("syslog_hostname").isNotNull()
+    behind = F.regexp_extract("message", r"<[0-9]{1,3}>\s*(.*)", 1)
     df = df.withColumns(
         {
             **decode_pri(F.col("syslog_pri")),
             "event_ts": F.coalesce(device_time(F.col("syslog_timestamp"), F.col("received_at")), "received_at"),
+            "message_remainder": F.when(ok, behind).otherwise(F.col("message_remainder")),
             "received_from": F.col("host"),
             "source_host": F.coalesce("syslog_hostname", "host"),
             "msg": F.when(ok, F.coalesce("syslog_message", F.lit(""))).otherwise(F.col("message")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -39,7 +40,11 @@ def parse_type(raw: DataFrame, source_type: str) -> DataFrame:
     return prune(apply_template(df), source_type)
 
 
-def index_events(raw: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """All types as one wide table with family, day and index name."""
-    frames = [parse_type(raw, t) for t in types or PARSERS]
+def index_events(raw: DataFrame | Mapping[str, DataFrame], types: Sequence[str] | None = None) -> DataFrame:
+    """All types as one wide table with family, day and index name.
+
+    ``raw`` is one table of all types, or one table per type.
+    """
+    types = list(types or (raw if isinstance(raw, Mapping) else PARSERS))
+    frames = [parse_type(raw[t] if isinstance(raw, Mapping) else raw, t) for t in types]
     return route(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.functions.extract import once
 from timberline.functions.tags import no_tags
 
 # The intake channels and how each one frames its payload.
@@ -53,7 +54,7 @@ def decode_json(df: DataFrame, schema: str, source: str = "message") -> DataFram
     Keys outside the schema stay reachable in ``extra`` as a variant.
     """
     record = F.from_json(F.col(source), f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    df = df.withColumn("_json", record)
+    df = once(df, "_json", record)
     names = [f.name for f in df.schema["_json"].dataType.fields if f.name != "_corrupt"]
     return df.withColumns(
         {

@@ -21,12 +21,13 @@ from timberline.functions.scalar import (
     device_time,
     first_time,
     http_time,
+    interpolate,
     iso_time,
     url_parts,
 )
 from timberline.functions.tags import tags_by_type
 from timberline.operators import cisco, databases, enrich, firewall, multiline, nagios, quality, syslog, vmware, web, windows
-from timberline.plans.indexing import PARSERS, index_events
+from timberline.plans.indexing import index_events
 from timberline.session import spread, table
 from timberline.sources.template import apply_template, prune, prune_mixed
 from timberline.suite import query, register
@@ -93,7 +94,9 @@ def when_ok(sql: str, otherwise: str = "NULL") -> str:
     f"""SELECT event_id, {when_ok(L.PRI)} AS syslog_pri, {when_ok(L.DUCK_STAMP)} AS syslog_timestamp,
     {when_ok(L.HOST)} AS syslog_hostname, {when_ok(L.PROGRAM)} AS syslog_program,
     {when_ok(f"CASE WHEN event_type <> 'purchase' THEN cast(event_id + 1 as varchar) END")} AS syslog_pid,
-    {when_ok(L.SYSLOG_TEXT)} AS syslog_message, {duck_pri(when_ok(L.PRI, '13'))},
+    {when_ok(L.SYSLOG_TEXT)} AS syslog_message,
+    {when_ok(f"{L.DUCK_STAMP} || ' ' || {L.HOST} || ' ' || {L.PROGRAM} || CASE WHEN event_type <> 'purchase' THEN '[' || cast(event_id + 1 as varchar) || ']' ELSE '' END || ': ' || {L.SYSLOG_TEXT}")} AS message_remainder,
+    {duck_pri(when_ok(L.PRI, '13'))},
     {when_ok(L.DUCK_SECOND, L.DUCK_SECOND)} AS event_second, 'relay' AS received_from,
     {when_ok(L.HOST, "'relay'")} AS source_host, {when_ok(L.HOST, "'relay'")} AS host,
     {when_ok(L.SYSLOG_TEXT, L.JUNK_TEXT)} AS msg, {when_ok("''", "'_grokparsefailure'")} AS tag_list FROM events""",
@@ -102,7 +105,7 @@ def syslog_parse(spark, folder):
     df = syslog.parse_syslog(L.syslog_lines(spark, folder))
     return df.select(
         F.col("ingest_seq").alias("event_id"), "syslog_pri", "syslog_timestamp", "syslog_hostname", "syslog_program",
-        "syslog_pid", "syslog_message", *PRI_COLUMNS, second("event_ts").alias("event_second"), "received_from",
+        "syslog_pid", "syslog_message", "message_remainder", *PRI_COLUMNS, second("event_ts").alias("event_second"), "received_from",
         "source_host", "host", "msg", joined("tags").alias("tag_list"),
     )
 
@@ -202,6 +205,24 @@ def parse_coverage(spark, folder):
     return df.withColumn("failure_percent", F.round("failure_percent", 6))
 
 
+@query(
+    "mark_unfiltered",
+    "SELECT event_id, CASE WHEN event_id % 50 = 0 THEN '_grokparsefailure' ELSE 'not_filtered' END AS tag_list FROM events",
+)
+def mark_unfiltered(spark, folder):
+    df = quality.mark_unfiltered(syslog.parse_syslog(L.syslog_lines(spark, folder)))
+    return df.select(F.col("ingest_seq").alias("event_id"), joined("tags").alias("tag_list"))
+
+
+@query(
+    "interpolate_fields",
+    f"SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN 'syslog-' || strftime(ts, '%Y.%m.%d') || ' on ' || {L.HOST} END AS label FROM events",
+)
+def interpolate_fields(spark, folder):
+    df = syslog.parse_syslog(L.syslog_lines(spark, folder)).withColumn("day", F.date_format("event_ts", "yyyy.MM.dd"))
+    return df.select(F.col("ingest_seq").alias("event_id"), interpolate("%{type}-%{day} on %{syslog_hostname}").alias("label"))
+
+
 @query(
     "unmatched_prefixes",
     """SELECT type, prefix, n, cast(row_number() OVER (ORDER BY n DESC, prefix) as bigint) AS rank FROM (
@@ -378,6 +399,10 @@ shaped(
     extra={
         "is_traffic": ("is_traffic", "event_id % 2 = 0"),
         "pan_time": ("pan_time", L.DUCK_STAMP),
+        "command": (
+            "command",
+            "'eth' || cast(user_id as varchar) || ',' || cast(event_id as varchar) || CASE WHEN event_id % 2 = 0 THEN ',TRAFFIC,end' ELSE ',THREAT,url' END",
+        ),
     },
 )
 
@@ -607,6 +632,7 @@ def host_resolve(spark, folder):
     SELECT doc_id, 'ip' AS kind, unnest(regexp_extract_all(text, '(?:^|[^0-9])((?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})[.]){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2}))(?:[^0-9]|$)', 1)) AS value FROM documents
     UNION ALL SELECT doc_id, 'uuid', unnest(regexp_extract_all(text, '[A-Fa-f0-9]{8}-(?:[A-Fa-f0-9]{4}-){3}[A-Fa-f0-9]{12}')) FROM documents
     UNION ALL SELECT doc_id, 'url', unnest(regexp_extract_all(text, '[A-Za-z]+(?:\+[A-Za-z+]+)?://[A-Za-z0-9.-]+[A-Za-z0-9](?:/[A-Za-z0-9$.+!*''(){},~:;=@#%_/-]*)?(?:\?[A-Za-z0-9$.+!*''|(){},~@#%&/=:;_?\[\]-]*)?')) FROM documents
+    UNION ALL SELECT doc_id, 'user', unnest(regexp_extract_all(text, '[a-zA-Z0-9._-]+@[0-9A-Za-z][0-9A-Za-z-]{0,62}(?:\.[0-9A-Za-z][0-9A-Za-z-]{0,62})+')) FROM documents
     ) GROUP BY ALL""",
 )
 def entity_extract(spark, folder):
@@ -694,12 +720,7 @@ def index_all_types(spark, folder):
         "syslog": L.syslog_lines, "firewall": L.asa_lines, "VMware": L.esxi_lines, "vCenter": L.vcenter_lines,
         "eventlog": L.eventlog_lines, "apache": L.access_lines, "iis": L.iis_lines,
     }
-    frames = [b(spark, folder) for b in builders.values()]
-    raw = frames[0]
-    for frame in frames[1:]:
-        raw = raw.unionByName(frame)
-    assert set(builders) <= set(PARSERS)
-    events = index_events(raw, list(builders))
+    events = index_events({kind: build(spark, folder) for kind, build in builders.items()})
     return events.groupBy("type", "index_name").agg(
         F.count("*").alias("n"), F.count_if(F.array_contains("tags", FAILURE_TAG)).alias("failures")
     )

@@ -192,6 +192,17 @@ def panel_histogram_auto(spark, folder):
     return df.groupBy("span", "series", second("bucket").alias("bucket")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "panel_histogram_value",
+    f"""WITH {_SERIES} SELECT series, strftime(time_bucket(INTERVAL '3 hours', ts), '{SECOND}') AS bucket, round(avg(value) * 2, 6) AS mean, min(value) * 2 AS min,
+    max(value) * 2 AS max, round(sum(value) * 2, 4) AS total FROM series GROUP BY series, time_bucket(INTERVAL '3 hours', ts)""",
+)
+def panel_histogram_value(spark, folder):
+    df = S.by_query(log_events(spark, folder), S.pick(named_queries()))
+    out = P.value_histogram(df, "3h", "value", ["mean", "min", "max", "total"], scale=2)
+    return out.withColumns({"bucket": second("bucket"), "mean": F.round("mean", 6), "total": F.round("total", 4)})
+
+
 @query(
     "panel_histogram_calendar",
     f"""WITH {_SERIES} SELECT unit, series, strftime(bucket, '{SECOND}') AS bucket, count(*) AS n FROM (
