@@ -123,10 +123,12 @@ def top_terms(
     ``other`` adds the events beyond them and ``missing`` the events without a
     value.  ``order`` is count, reverse_count, term or reverse_term.
     """
-    counts = df.groupBy(F.col(field).cast("string").alias("term")).agg(F.count("*").alias("n"))
-    present = counts.filter(F.col("term").isNotNull())
-    if exclude:
-        present = present.filter(~F.col("term").isin(*exclude))
+    term = F.col(field).cast("string")
+    excluded = term.isin(*exclude) if exclude else F.lit(False)
+    kind = F.when(term.isNull(), 0).when(excluded, 1).otherwise(2)
+    # As an aggregate, the kind cannot be pushed below the count: all uses share one shuffle.
+    counts = df.groupBy(term.alias("term")).agg(F.count("*").alias("n"), F.max(kind).alias("_kind"))
+    present = counts.filter(F.col("_kind") == 2)
     sort = {
         "count": [F.desc("n"), F.asc("term")],
         "reverse_count": [F.asc("n"), F.asc("term")],
@@ -134,21 +136,17 @@ def top_terms(
         "reverse_term": [F.desc("term")],
     }[order]
     top = present.orderBy(*sort).limit(size).select(F.lit("term").alias("kind"), "term", "n")
+
+    def total(rows: DataFrame, name: str) -> DataFrame:
+        n = F.coalesce(F.sum("n"), F.lit(0)).alias("n")
+        return rows.agg(n).select(F.lit(name).alias("kind"), F.lit(None).cast("string").alias("term"), "n")
+
     out = top
     if other:
         beyond = present.select("n").unionByName(top.select((-F.col("n")).alias("n")))
-        out = out.unionByName(
-            beyond.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(
-                F.lit("other").alias("kind"), F.lit(None).cast("string").alias("term"), "n"
-            )
-        )
+        out = out.unionByName(total(beyond, "other"))
     if missing:
-        none = counts.filter(F.col("term").isNull())
-        out = out.unionByName(
-            none.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(
-                F.lit("missing").alias("kind"), F.lit(None).cast("string").alias("term"), "n"
-            )
-        )
+        out = out.unionByName(total(counts.filter(F.col("_kind") == 0), "missing"))
     return out
 
 

@@ -45,6 +45,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, column: str) -> dt.datetime:
-    """The newest time of a column: one number for the driver, from file statistics."""
+    """The newest time of a column, as one value for the driver.
+
+    It reads that column only.  A live dashboard passes the current time instead.
+    """
     text = df.agg(F.date_format(F.max(column), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t")).first()["t"]
     return dt.datetime.strptime(text, "%Y-%m-%d %H:%M:%S.%f").replace(tzinfo=dt.timezone.utc)
