@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -238,3 +239,26 @@ def test_interpolate_and_seconds(spark):
     df = spark.createDataFrame([("a", None, "26:00:01")], "x string, y string, d string")
     row = df.select(scalar.interpolate("%{x}-1"), scalar.interpolate("%{x}-%{y}"), scalar.seconds_of(F.col("d"))).first()
     assert tuple(row) == ("a-1", None, 93601)
+
+
+@pytest.mark.parametrize(
+    "text", ["word " * 40_000, "a." * 100_000, '"' + '\\"' * 100_000, "1" * 20_000, "/a" * 100_000, "x" * 200_000, "[" * 50_000, "::1 " * 30_000]
+)
+def test_long_lines_do_not_overflow_or_stall(spark, text):
+    """Whole lines are processed, whatever they hold, without deep recursion."""
+    head = '10.0.0.1 - - [05/Jan/2024:01:02:03 +0000] "GET / HTTP/1.1" 200 1 "-" '
+    df = lines(spark, text, f"<13>Jan  5 01:02:03 web1 su: {text}", f"{ASA_HEAD}999999: {text}", head + text, kind="syslog").persist()
+    jobs = [
+        syslog.parse_syslog, syslog.parse_logins, syslog.parse_rfc5424, syslog.parse_generic, syslog.parse_pam, syslog.parse_cron,
+        cisco.parse_asa, cisco.parse_ios, firewall.parse_netscreen, firewall.parse_iptables, web.parse_access_log, web.parse_iis,
+        vmware.parse_esxi, vmware.parse_vcenter, vmware.parse_storage_health, nagios.parse_nagios,
+    ]
+    for job in jobs:
+        began = time.time()
+        assert len(job(df).collect()) == 4
+        assert time.time() - began < 20, job.__name__
+    found = quality.entities(df.select("ingest_seq", "message"), "message").count()
+    assert found >= 1
+    long = one(syslog.parse_syslog(df.filter("ingest_seq = 1")))
+    assert long["syslog_message"] == text
+    df.unpersist()

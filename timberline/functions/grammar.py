@@ -24,7 +24,9 @@ def _ipv6() -> str:
     return "(?:" + "|".join(forms) + r")(?:%[\w.-]+)?"
 
 
-# The building blocks of the supported log formats.
+# The building blocks of the supported log formats.  Repeated
+# groups are possessive, which Java matches in a loop and not by recursion, and
+# runs start only at their first character, so long lines stay linear.
 BLOCKS: dict[str, str] = {
     # text and numbers
     "username": r"[a-zA-Z0-9._-]+",
@@ -53,7 +55,7 @@ BLOCKS: dict[str, str] = {
     "ipv6": _ipv6(),
     "ip": r"(?:{:ipv4}|{:ipv6})",
     "label": r"[0-9A-Za-z][0-9A-Za-z-]{0,62}",
-    "hostname": r"\b{:label}(?:\.{:label})*(?:\.?|\b)",
+    "hostname": r"(?<![0-9A-Za-z.-])\b{:label}(?:\.{:label})*+(?:\.?|\b)",
     "iporhost": r"(?:{:hostname}|{:ip})",
     "hostport": r"(?:{:iporhost}:{:posint})",
     "ipprotocol": r"(?:tcp|udp|icmp)",

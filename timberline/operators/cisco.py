@@ -17,7 +17,7 @@ register_pattern(
     "|discarded|est-allowed|Dropping|created|deleted)",
 )
 register_pattern("asa_direction", "(?:[Ii]nbound|[Oo]utbound)")
-register_pattern("asa_reason", r"\w+(?:\s+\w+)*")
+register_pattern("asa_reason", r"\w(?:[\w\s]*\w)?")
 register_pattern("asa_interval", "(?:first hit|{:int}-second interval)")
 register_pattern("asa_xlate", "(?:static|dynamic)")
 register_pattern("token", r"[^\s(),/:\]]+")
@@ -94,7 +94,7 @@ FAMILIES = {
     + _address("src") + " to " + _endpoint("dst"),
     (713172,): r"Group = {group:rest}, IP = {src_ip:ip}, Automatic NAT Detection Status:\s+Remote end\s*"
     r"{is_remote_natted:data}\s*behind a NAT device\s+This\s+end\s*{is_local_natted:data}\s*behind a NAT device",
-    (733100,): r"\[\s*{drop_type:data}\s*\] drop {drop_rate_id:data} exceeded\. "
+    (733100,): r"(?<!\[)\[\s*{drop_type:data}\s*\] drop {drop_rate_id:data} exceeded\. "
     r"Current burst rate is {drop_rate_current_burst:int} per second, max configured rate is {drop_rate_max_burst:int}; "
     r"Current average rate is {drop_rate_current_avg:int} per second, max configured rate is {drop_rate_max_avg:int}; "
     r"Cumulative total count is {drop_total_count:int}",
@@ -102,7 +102,9 @@ FAMILIES = {
 
 _HEADER = r"<{syslog_pri:pri}>{timestamp:ciscotime}(?: {sysloghost:iporhost})?: %"
 HEADER = line_pattern(_HEADER + "{ciscotag:ciscotag}:", at_start=True)
-_ANY = [line_pattern(text) for text in FAMILIES.values()]
+# A reason takes all words of a run, so a search need only start where a run does.
+_RUN = r"(?<![\w\s])\s*"
+_ANY = [line_pattern((_RUN if text.startswith("{reason:") else "") + text) for text in FAMILIES.values()]
 # The tag with a family's ids leads its alternative; the last one takes any other tag.
 _ALTERNATIVES = []
 for _ids, _text in FAMILIES.items():
