@@ -39,8 +39,13 @@ def rewrite(source: Column, patterns: Sequence[LinePattern], layout: Sequence[st
     layout = layout or layout_of(patterns)
     groups = [g for p in patterns for g in p.groups]
     refs = ["".join(f"${i}" for i, g in enumerate(groups, 1) if g == name) for name in layout]
-    regex = "|".join(p.regex if p.at_start else rf"[\s\S]*?(?:{p.regex})" for p in patterns)
-    return F.regexp_replace(source, rf"\A(?:{regex})[\s\S]*\z", "".join(SEP + r for r in refs))
+    # ``(?s:.*)`` and not ``[\s\S]*``, which Java matches ten times slower.
+    if len(patterns) == 1 and not patterns[0].at_start:
+        regex = patterns[0].regex  # what is in front of the match stays there, as part 0
+    else:
+        regex = "|".join(p.regex if p.at_start else rf"(?s:.*?)(?:{p.regex})" for p in patterns)
+        regex = rf"\A(?:{regex})"
+    return F.regexp_replace(source, rf"(?:{regex})(?s:.*)", "".join(SEP + r for r in refs))
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -86,5 +86,5 @@ def pick(queries: Sequence[NamedQuery], mode: str = "all", selected: Sequence[st
 
 def by_query(df: DataFrame, queries: Sequence[NamedQuery], name: str = "series") -> DataFrame:
     """One row per event and matching query, from a single scan."""
-    hits = F.array_compact(F.array(*[F.when(q.condition, F.lit(q.alias)) for q in queries]))
-    return df.withColumn(name, F.explode(hits))
+    hits = F.array(*[F.when(q.condition, F.lit(q.alias)) for q in queries])
+    return df.withColumn(name, F.explode(hits)).filter(F.col(name).isNotNull())

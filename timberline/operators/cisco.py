@@ -105,13 +105,17 @@ HEADER = line_pattern(_HEADER + "{ciscotag:ciscotag}:", at_start=True)
 # A reason takes all words of a run, so a search need only start where a run does.
 _RUN = r"(?<![\w\s])\s*"
 _ANY = [line_pattern((_RUN if text.startswith("{reason:") else "") + text) for text in FAMILIES.values()]
-# The tag with a family's ids leads its alternative; the last one takes any other tag.
+# The id leads its family's alternative; the last one takes any other id.
+register_pattern("asa_level", "[A-Z0-9]+-[0-9]+-")
+register_pattern("asa_other", "[A-Z0-9_]+")
 _ALTERNATIVES = []
 for _ids, _text in FAMILIES.items():
-    _tag = "asa_tag_" + "_".join(map(str, _ids))
-    register_pattern(_tag, rf"[A-Z0-9]+-[0-9]+-(?:{'|'.join(map(str, _ids))})")
-    _ALTERNATIVES.append(f"{{ciscotag:{_tag}}}: {_text}")
-_BY_ID = line_pattern(_HEADER + f"(?:{'|'.join(_ALTERNATIVES)}|{{_other:ciscotag}}:)", at_start=True)
+    _name = "asa_" + "_".join(map(str, _ids))
+    register_pattern(_name, f"(?:{'|'.join(map(str, _ids))})")
+    _ALTERNATIVES.append(f"{{_id:{_name}}}: {_text}")
+_BY_ID = line_pattern(
+    _HEADER + "{_level:asa_level}" + f"(?:{'|'.join(_ALTERNATIVES)}|{{_other:asa_other}}:)", at_start=True
+)
 BODY = layout_of(_ANY)
 LONGS = [
     n
@@ -132,7 +136,7 @@ def _from_header(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             **decode_pri(F.col("syslog_pri")),
-            "asa_id": F.regexp_extract("ciscotag", "-([0-9]+)$", 1).try_cast("bigint"),
+            "asa_id": F.substring_index("ciscotag", "-", -1).try_cast("bigint"),
             "event_ts": F.coalesce(device_time(F.col("timestamp"), F.col("received_at")), "received_at"),
             "source_host": F.coalesce("sysloghost", "host"),
             "msg": F.col("message"),
@@ -155,13 +159,13 @@ def parse_asa(df: DataFrame) -> DataFrame:
     one ``split`` serves them all.  ``asa_family`` is the family of the id.
     """
     line = clean(F.col("message"))
-    layout = [*HEADER.fields, "_other", *BODY]
-    df = once(df, "_parts", F.split(rewrite(line, [_BY_ID], layout), SEP))
+    layout = ["syslog_pri", "timestamp", "sysloghost", "_level", "_id", "_other", *BODY]
     at = {n: i for i, n in enumerate(layout, 1)}
-    unknown = f"{part('_parts', at['ciscotag'])} IS NULL"
+    df = once(df, "_parts", F.split(rewrite(line, [_BY_ID], layout), SEP))
+    unknown = f"{part('_parts', at['_id'])} IS NULL"
     df = once(df, "_any", F.when(F.expr(unknown), F.split(rewrite(line, _ANY, BODY), SEP)))
-    cols = {n: part("_parts", i) for n, i in at.items() if n != "_other"}
-    cols["ciscotag"] = f"coalesce({cols['ciscotag']}, {part('_parts', at['_other'])})"
+    cols = {n: part("_parts", i) for n, i in at.items() if not n.startswith("_")}
+    cols["ciscotag"] = "{} || coalesce({}, {})".format(*[part("_parts", at[n]) for n in ("_level", "_id", "_other")])
     for i, name in enumerate(BODY, 1):
         cols[name] = f"coalesce({cols[name]}, {part('_any', i)})"
     cols["header"] = f"coalesce(size(_parts) = {len(layout) + 1}, false)"

@@ -273,7 +273,7 @@ def panel_bundle(
             F.lit(panel).alias("panel"), F.lit(series).cast("string").alias("series"), key.cast("string").alias("key")
         )
 
-    start = F.date_format(bucket(F.col(ts), interval), "yyyy-MM-dd HH:mm:ss")
+    start = F.unix_seconds(bucket(F.col(ts), interval))
     by_alias = {q.alias: q.condition for q in queries if q.enabled}
     cells = []
     for alias, condition in by_alias.items():
@@ -286,7 +286,7 @@ def panel_bundle(
         cells.append(F.when(shown & F.col(field).isNotNull(), cell(panel, None, F.col(field))))
         size = F.when(F.col("panel") == panel, F.lit(n)).otherwise(size)
 
-    expanded = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
+    expanded = df.select(F.explode(F.array(*cells)).alias("c")).filter(F.col("c").isNotNull()).select("c.*")
     # As an aggregate, the mark cannot be pushed below the count: both uses share one shuffle.
     is_term = F.max(F.col("panel").isin(*terms)).alias("_ranked")
     counts = expanded.groupBy("panel", "series", "key").agg(F.count("*").alias("n"), is_term)
@@ -295,4 +295,7 @@ def panel_bundle(
     largest = max(n for _, n, _ in terms.values())
     top = counts.filter(ranked).withColumn("_rank", rank).filter(F.col("_rank") <= largest)
     top = top.filter(F.col("_rank") <= size).drop("_rank")
-    return counts.filter(~ranked).unionByName(top).drop("_ranked")
+    out = counts.filter(~ranked).unionByName(top).drop("_ranked")
+    # Times are formatted here, once per bucket, and not once per event.
+    time = F.date_format(F.timestamp_seconds(F.col("key").try_cast("bigint")), "yyyy-MM-dd HH:mm:ss")
+    return out.withColumn("key", F.when(F.col("panel") == "histogram", time).otherwise(F.col("key")))
