@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from timberline.operators.panels import histogram
 from timberline.session import prepare

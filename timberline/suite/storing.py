@@ -6,7 +6,6 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from timberline.fixtures import lines as L
 from timberline.session import latest, table
 from timberline.sources import channels, storage
 from timberline.suite import query
