@@ -16,23 +16,33 @@ from timberline.suite.parsing import second
 from timberline.suite.searching import _SERIES, SECOND, log_events, named_queries
 
 
-def _files(spark, folder, df, name, files=4):
-    """Write lines as a table of several files, and read it as a stream, one file per batch."""
+BATCHES = 4
+
+
+def _files(spark, folder, df, name):
+    """Write lines as a table of files, and read it as a stream of a few micro-batches.
+
+    The files follow the read tasks of the table, so they do not grow with it.
+    """
     path = storage.shared_folder(spark, name)
-    df.repartitionByRange(files, "ingest_seq").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    tasks = df.rdd.getNumPartitions()
+    if tasks < BATCHES:
+        tasks, df = BATCHES, df.repartition(BATCHES)
+    df.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-tasks // BATCHES)).parquet(f"{path}/in")
     return stream, path
 
 
-def _files_in_order(spark, df, name, parts):
-    """The same, with the files written one after the other, in line order."""
+def _files_in_order(spark, df, name):
+    """The same, with the parts written one after the other, in line order."""
     path = storage.shared_folder(spark, name)
     ends = df.agg(F.min("ingest_seq").alias("a"), F.max("ingest_seq").alias("b")).first()
-    width = (ends.b - ends.a) // parts + 1
+    width = (ends.b - ends.a) // BATCHES + 1
     part = F.floor((F.col("ingest_seq") - ends.a) / width)
-    for i in range(parts):
-        df.filter(part == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    files = max(1, df.rdd.getNumPartitions() // BATCHES)
+    for i in range(BATCHES):
+        df.filter(part == i).repartition(files).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
     return stream, path
 
 
@@ -62,7 +72,7 @@ def stream_ingest(spark, folder):
 )
 def stream_histogram(spark, folder):
     events = log_events(spark, folder).withColumn("ingest_seq", F.col("event_id"))
-    stream, path = _files(spark, folder, events, "histogram", files=3)
+    stream, path = _files(spark, folder, events, "histogram")
     live = by_query(stream, pick(named_queries()))
     _run(jobs.live_histogram(live, f"{path}/out", f"{path}/checkpoint", late="31 days", interval=None))
     return jobs.current_histogram(spark, f"{path}/out").withColumn("bucket", second("bucket"))
@@ -85,7 +95,7 @@ def stream_multiline(spark, folder):
             "CASE WHEN event_type IN ('error', 'view') THEN '--> ' || event_type ELSE event_type || ' ' || cast(event_id as string) END"
         ).alias("message"),
     )
-    stream, path = _files_in_order(spark, lines, "multiline", parts=3)
+    stream, path = _files_in_order(spark, lines, "multiline")
     job = _run(jobs.assemble_stream(stream, f"{path}/out", f"{path}/checkpoint", "host", "ingest_seq", "-->"))
     last = job.lastProgress["batchId"]
     df = jobs.finish_assembly(spark, f"{path}/out", last, "host", "ingest_seq", "-->")
