@@ -131,7 +131,8 @@ def compact(spark: SparkSession, path: str, family: str, day: dt.date, file_byte
     """Merge one partition's files into files of about ``file_bytes``.
 
     The new files are written next to the store and swapped in by rename; the old
-    folder is only removed after that.  Returns the number of files written.
+    folder is only removed after that.  A job that dies between the two renames leaves
+    the old folder as ``_aside-*``, to be renamed back.  Returns the number of files written.
     """
     folder = f"{path}/index_family={family}/event_date={day}"
     fs, old = _fs_path(spark, folder)

@@ -62,7 +62,7 @@ def live_histogram(
     """Bucket counts per series, updated each trigger.
 
     Changed buckets are written per micro-batch; ``current_histogram`` reads the
-    newest count of each bucket.
+    newest count of each bucket.  Batches older than ``late`` hold closed buckets only.
     """
     counts = histogram(events.withWatermark("event_ts", late), width)
 

@@ -32,7 +32,7 @@ def daily_index_counts(spark, folder):
     return storage.route(typed_events(spark, folder)).groupBy("index_name").agg(F.count("*").alias("n"))
 
 
-@query("ingest_channels", f"SELECT {_KIND_SQL} AS type, count(*) AS n, sum(length('event ' || cast(event_id as varchar))) AS chars FROM events GROUP BY ALL")
+@query("ingest_channels", f"SELECT {_KIND_SQL} AS type, count(*) AS n, cast(sum(length('event ' || cast(event_id as varchar))) as bigint) AS chars FROM events GROUP BY ALL")
 def ingest_channels(spark, folder):
     """Lines are written as text files per channel and read back as typed channels."""
     path = storage.shared_folder(spark, "channels")
