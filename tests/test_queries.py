@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from timberline import suite
 from tests.compare import compare, connect
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -17,7 +18,7 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(suite.QUERIES))
 def test_query_equals_sql(spark, duck, name):
     assert compare(spark, duck, entry.queries()[name], entry.oracle_sql()[name], FOLDER) == ""
 
