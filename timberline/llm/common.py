@@ -23,6 +23,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+        "spark.sql.execution.arrow.maxBytesPerBatch": "32m",
     }.items():
         spark.conf.set(key, value)
     return spark
