@@ -29,6 +29,8 @@ SHARD_WORDS = 1 << 20
 #: Test items that go to a shard together.
 ITEMS = 5000
 WINDOW = 13
+#: Bytes of item texts up to which they are broadcast.
+BROADCAST = 8 << 20
 INDEX = "shard long, doc_ids array<long>, n_words array<long>, terms binary, ends binary, postings binary"
 FOUND = "shard long, slot int, spans array<struct<a:int,b:int>>, items array<string>"
 
@@ -140,22 +142,26 @@ class Shard:
         return first[starts], last[starts]
 
 
-def item_blocks(items: DataFrame, per_block: int = ITEMS) -> tuple[DataFrame, int]:
-    """Test items (item_id, text) as rows of blocks; the number of blocks."""
+def item_blocks(items: DataFrame, per_block: int = ITEMS) -> tuple[DataFrame, int, int]:
+    """Test items (item_id, text) as rows of blocks, the number of blocks, and the bytes of all texts."""
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("text").isNotNull())
-    n = max(1, -(-rows.count() // per_block))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n = max(1, -(-size["n"] // per_block))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")
-    return rows.groupBy(block.alias("block")).agg(F.collect_list(F.struct("item_id", "text")).alias("tests")), n
+    return rows.groupBy(block.alias("block")).agg(F.collect_list(F.struct("item_id", "text")).alias("tests")), n, size["bytes"]
 
 
-def with_blocks(index: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
+def with_blocks(index: DataFrame, blocks: DataFrame, n: int, size: int) -> DataFrame:
     """Each shard beside each block of items.
 
-    The second key only spreads the shards when the blocks are too large for Spark to broadcast.
+    Items of at most BROADCAST bytes of text are broadcast.  Beyond that, shards and items are
+    shuffled, and a second key spreads the shards over all tasks.
     """
-    spread = partitions(index.sparkSession)
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    if size <= BROADCAST:
+        return index.join(F.broadcast(blocks), "block")
+    spread = partitions(index.sparkSession)
     index = index.withColumn("deal", F.pmod(F.xxhash64("shard"), F.lit(spread)))
     blocks = blocks.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
     return index.join(blocks, ["block", "deal"]).drop("deal")
@@ -185,7 +191,7 @@ def phrase_matches(spark: SparkSession, path: str, items: DataFrame, window: int
     One row per shard, slot (place of the document in the shard) and block of items: spans
     (from, to) in words of the document, joined where they overlap, and the items found.
     """
-    blocks, n = item_blocks(items)
+    blocks, n, size = item_blocks(items)
     index = spark.read.schema(INDEX).parquet(path).drop("doc_ids")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +233,7 @@ def phrase_matches(spark: SparkSession, path: str, items: DataFrame, window: int
                     FOUND_ARROW,
                 )
 
-    return with_blocks(index, blocks, n).mapInArrow(search, FOUND)
+    return with_blocks(index, blocks, n, size).mapInArrow(search, FOUND)
 
 
 FOUND_ARROW = pa.schema(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm.common import prepare
@@ -107,3 +107,27 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     from timberline.llm.topk import top_neighbours
 
     return top_neighbours(table(spark, folder, "embeddings"))
+
+
+def digest_mod(column: str, n: int) -> Column:
+    """crc32 of a number as text, modulo n."""
+    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(n))
+
+
+@query("op1_language")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from timberline.llm.language import fit, identify
+
+    docs = table(spark, folder, "documents")
+    models = fit(docs.where(digest_mod("doc_id", 3) != 1).select("text", "lang"))
+    rows = docs.select("doc_id", (digest_mod("doc_id", 3) == 1).alias("held_out"), "text")
+    return identify(rows, models, ["doc_id", "held_out"])
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from timberline.llm.toxicity import fit
+
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = fit(docs, labels.where(digest_mod("doc_id", 5) != 0))
+    return model.score(docs.select("doc_id", (digest_mod("doc_id", 5) == 0).alias("held_out"), "text"), ["doc_id", "held_out"])
