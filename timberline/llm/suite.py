@@ -131,3 +131,37 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     model = fit(docs, labels.where(digest_mod("doc_id", 5) != 0))
     return model.score(docs.select("doc_id", (digest_mod("doc_id", 5) == 0).alias("held_out"), "text"), ["doc_id", "held_out"])
+
+
+MIX_SQL = r"""
+d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+  FROM docs
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, 3 * CAST(source_size AS DOUBLE) AS cap FROM s),
+l AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE)
+      - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), t AS (
+  SELECT source, source_size, CASE WHEN cap <= level * weight THEN cap
+    ELSE weight * (SELECT arg_min(level, cap / weight) FROM l WHERE NOT cap <= level * weight) END AS target,
+    CAST(('0x' || substr(md5('mix:' || coalesce('s' || source, '')), 1, 6)) AS BIGINT) / 16777216.0::DOUBLE AS shift FROM l
+), ranked AS (
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.shift, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS each,
+    row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.digest, d.doc_id) AS r
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), mixed AS (SELECT *, CAST(floor(r * each + shift) - floor((r - 1) * each + shift) AS BIGINT) AS copies FROM ranked)
+"""
+
+
+@query(
+    "op2_mixing",
+    f"WITH docs AS (SELECT * FROM documents), {MIX_SQL} SELECT doc_id, size, source_size, target, copies * size AS taken FROM mixed",
+)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from timberline.llm.mixing import with_copies, word_count
+
+    docs = table(spark, folder, "documents")
+    rows = with_copies(docs, word_count(F.col("text")))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
