@@ -165,3 +165,38 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     rows = with_copies(docs, word_count(F.col("text")))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query(
+    "op6_backoff",
+    rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (
+  SELECT doc_id, p, w[p] AS c, CASE WHEN p > 1 THEN w[p - 1] END AS b, CASE WHEN p > 2 THEN w[p - 2] END AS a, len(w) AS n
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)
+), n1 AS (SELECT c, count(*) AS k FROM t GROUP BY c), o1 AS (SELECT doc_id, c, count(*) AS k FROM t GROUP BY doc_id, c),
+n2 AS (SELECT b, c, count(*) AS k FROM t WHERE b IS NOT NULL GROUP BY b, c), o2 AS (SELECT doc_id, b, c, count(*) AS k FROM t WHERE b IS NOT NULL GROUP BY doc_id, b, c),
+n3 AS (SELECT a, b, c, count(*) AS k FROM t WHERE a IS NOT NULL GROUP BY a, b, c), o3 AS (SELECT doc_id, a, b, c, count(*) AS k FROM t WHERE a IS NOT NULL GROUP BY doc_id, a, b, c),
+total AS (SELECT count(*) AS k FROM t),
+u AS (SELECT o1.doc_id, o1.c, n1.k - o1.k AS k FROM o1 JOIN n1 USING (c)),
+v AS (SELECT o2.doc_id, o2.b, o2.c, n2.k - o2.k AS k FROM o2 JOIN n2 USING (b, c)),
+x AS (SELECT o3.doc_id, o3.a, o3.b, o3.c, n3.k - o3.k AS k FROM o3 JOIN n3 USING (a, b, c)),
+s AS (
+  SELECT t.doc_id, CASE
+    WHEN x.k > 0 THEN ln(x.k / y.k)
+    WHEN v.k > 0 THEN ln(v.k / z.k) + ln(0.4) * (least(t.p - 1, 2) - 1)
+    ELSE ln(greatest(u.k, 0.5) / greatest(total.k - t.n, 1)) + ln(0.4) * least(t.p - 1, 2) END AS s
+  FROM t CROSS JOIN total JOIN u ON u.doc_id = t.doc_id AND u.c = t.c
+  LEFT JOIN u z ON z.doc_id = t.doc_id AND z.c = t.b
+  LEFT JOIN v ON v.doc_id = t.doc_id AND v.b = t.b AND v.c = t.c
+  LEFT JOIN v y ON y.doc_id = t.doc_id AND y.b = t.a AND y.c = t.b
+  LEFT JOIN x ON x.doc_id = t.doc_id AND x.a = t.a AND x.b = t.b AND x.c = t.c
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(sum(s), 0), 3) AS log_score FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, w
+""",
+)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from timberline.llm.backoff import score
+
+    rows = score(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
