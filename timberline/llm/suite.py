@@ -200,3 +200,50 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = score(table(spark, folder, "documents"))
     return rows.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
+
+
+SPACE = r"\x20\x09-\x0D"
+#: Tokenizer versions of the rollup query: words, words with a letter or digit, and runs of letters, digits or signs.
+VERSIONS = {
+    "words-1": rf"[^{SPACE}]+",
+    "words-2": rf"[^{SPACE}]*[\p{{L}}\p{{N}}][^{SPACE}]*",
+    "runs-1": rf"\p{{L}}+|\p{{N}}+|[^{SPACE}\p{{L}}\p{{N}}]+",
+}
+
+
+@query(
+    "op3_token_rollup",
+    f"""
+WITH d AS (
+  SELECT doc_id, source, lang, text, {", ".join(f"CAST(len(regexp_extract_all(coalesce(text, ''), '{p}')) AS BIGINT) AS n{i}" for i, p in enumerate(VERSIONS.values()))}
+  FROM documents
+), kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM d) WHERE r = 1 OR text IS NULL)
+SELECT source, lang, 'words' AS tokenizer, count(*) AS n_docs, CAST(sum(n1) AS BIGINT) AS n_tokens FROM kept GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'runs' AS tokenizer, count(*) AS n_docs, CAST(sum(n2) AS BIGINT) AS n_tokens FROM kept GROUP BY source, lang
+""",
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Four batches over all documents: inserts for two tokenizers, revised counts of one, deletes of exact copies; one is replayed."""
+    from timberline.llm.common import new_path, stored
+    from timberline.llm.rollup import Rollup
+
+    text = F.coalesce("text", F.lit(""))
+    counts = [F.regexp_count(text, F.lit(p)).cast("long").alias(f"n{i}") for i, p in enumerate(VERSIONS.values())]
+    digest = F.when(F.col("text").isNotNull(), F.sha2("text", 256)).alias("digest")
+    docs = stored(table(spark, folder, "documents").select("doc_id", "source", "lang", digest, *counts), "counts")
+    first = docs.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = docs.join(first, "digest").where(F.col("doc_id") != F.col("first"))
+
+    def changes(rows: DataFrame, op: str, tokenizer: str, count: str, old: str | None = None) -> DataFrame:
+        was = F.col(old) if old else F.lit(None).cast("long")
+        return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(count).alias("n_tokens"), was.alias("old_tokens"))
+
+    rollup = Rollup(spark, new_path(spark, "rollup"))
+    inserts = changes(docs, "insert", "words", "n0")
+    rollup.apply("1-words", inserts)
+    rollup.apply("2-runs", changes(docs, "insert", "runs", "n2"))
+    rollup.apply("3-revised", changes(docs, "revise", "words", "n1", "n0"))
+    rollup.apply("1-words", inserts)
+    rollup.apply("4-copies", changes(copies, "delete", "words", "n1").union(changes(copies, "delete", "runs", "n2")))
+    return rollup.totals()
