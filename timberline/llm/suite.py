@@ -247,3 +247,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     rollup.apply("1-words", inserts)
     rollup.apply("4-copies", changes(copies, "delete", "words", "n1").union(changes(copies, "delete", "runs", "n2")))
     return rollup.totals()
+
+
+@query("op8_chat")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from timberline.llm.chat import format_chats
+
+    return format_chats(table(spark, folder, "conversations"))
