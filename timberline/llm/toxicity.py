@@ -45,7 +45,7 @@ SECOND_PERSON = frozenset(
 STAND_INS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": None, "-": None, ".": None, "_": None})
 
 LETTERS = re.compile(r"[^\W\d_]+")
-DISGUISED = re.compile(r"[^\W\d_]+(?:[0-9@$!*._-]+[^\W\d_]+)+")
+DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$!*._-]++[^\W\d_]++)+")  # in linear time, for runs of any length
 SPELLED = re.compile(r"(?<!\w)(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?!\w)")
 CAPITALS = bytes(range(65, 91))
 SMALL = bytes(range(97, 123))
