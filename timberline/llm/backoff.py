@@ -3,7 +3,7 @@
 The n-gram counts of the whole corpus are a table partitioned by n-gram hash; each document's
 n-grams are joined to it and the logarithms summed per document.  Rows of that join are packed:
 
-1. Documents become blocks of about two million words: hashes of the different words and the
+1. Documents become blocks of about a million words: hashes of the different words and the
    word numbers in a row, in a table bucketed by block.
 2. A block sends each of its different n-grams once, with its count there, to the part of the
    count table that the hash falls into.  A frequent n-gram is one entry a block.
@@ -14,8 +14,9 @@ n-grams are joined to it and the logarithms summed per document.  Rows of that j
 So a document is scored by the counts of all *other* documents: with its own counts included,
 every one of its n-grams would be known and nothing would ever back off.
 
-Words are runs of characters other than ASCII white space, A-Z as a-z.  N-grams are 64-bit
-hashes; among n different n-grams about n*n / 2**65 pairs share a hash.
+Words are runs of characters other than ASCII white space, A-Z as a-z.  N-grams are hashes of
+SPARE bits more than it takes to number all of the corpus, 64 at most, so that about one in
+2**SPARE of them shares its hash with another one.
 """
 
 from __future__ import annotations
@@ -24,15 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.common import SPACED, binaries, column, mix64, partitions, prepare, scan, texts, shared_folder
 
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 20
 ORDER = 3
 BACKOFF = 0.4
+SPARE = 24
 BLOCKS = "block long, doc_ids array<long>, n_words array<long>, words binary, stream binary"
 
 
@@ -75,36 +78,47 @@ def make_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """The first bytes of all numbers, then their second bytes, and so on; sorted and small numbers then compress well."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    """The first bytes of all numbers, then their second bytes, and so on, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
 
 
 def from_planes(data: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def grams(row: dict, order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """For n from 1: hashes of the n-grams and the places where they end; then the document of each word, words before it."""
-    counts = np.array(row["n_words"], np.int64)
-    words = np.frombuffer(row["words"], np.uint64)[from_planes(row["stream"], np.uint32)]
-    doc = np.repeat(np.arange(len(counts)), counts)
-    before = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
-    hashes, places = [], []
-    with np.errstate(over="ignore"):
-        rolling = np.zeros(len(words), np.uint64)
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+class Words:
+    """The words of a block: their hashes, the document of each, and the words before it."""
+
+    def __init__(self, row: dict) -> None:
+        self.counts = np.array(row["n_words"], np.int64)
+        self.hashes = np.frombuffer(row["words"], np.uint64)[from_planes(row["stream"], np.uint32)]
+        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.before = np.arange(len(self.hashes)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+
+    def grams(self, order: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For n from 1: n, hashes of the n-grams, the places where they end."""
+        rolling = np.zeros(len(self.hashes), np.uint64)
         for n in range(1, order + 1):
             # the hash of the n words that end here is that of the n - 1 words before and this word
             previous = np.concatenate([np.zeros(1, np.uint64), rolling[:-1]]) if n > 1 else rolling
-            rolling = mix64(previous * np.uint64(0xD1342543DE82EF95) + words + np.uint64(n))
-            at = np.flatnonzero(before >= n - 1)
-            hashes.append(rolling[at])
-            places.append(at)
-    return hashes, places, doc, before
+            with np.errstate(over="ignore"):
+                rolling = mix64(previous * np.uint64(0xD1342543DE82EF95) + self.hashes + np.uint64(n))
+            at = np.flatnonzero(self.before >= n - 1)
+            yield n, rolling[at] >> np.uint64(64 - bits), at
 
 
-def _part_bounds(parts: int) -> np.ndarray:
-    return np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time; what Arrow holds on to is given back in between."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+            pa.default_memory_pool().release_unused()
+
+
+def hash_bits(total: int, order: int) -> int:
+    return min(64, SPARE + (total * order).bit_length())
 
 
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -118,100 +132,112 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_w
     spark = prepare(docs.sparkSession)
     shared_folder(spark)
     parts = partitions(spark)
-    bounds = _part_bounds(parts)
     name = f"timberline_blocks_{new_name()}"
     make_blocks(docs, block_words).write.bucketBy(parts, "block").option("compression", "zstd").saveAsTable(name)
     blocks = spark.table(name)
     total = blocks.select(F.explode("n_words").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
+    bits = hash_bits(total, order)
+    bounds = np.array([(i << bits) // parts for i in range(1, parts)], np.uint64)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, counts = np.unique(np.concatenate(grams(row, order)[0]), return_counts=True)
+        for row in _rows(batches):
+            for n, hashes, _ in Words(row).grams(order, bits):
+                keys, counts = np.unique(hashes, return_counts=True)
                 counts = counts.astype(np.uint32)
                 cut = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]).tolist()
                 some = [p for p in range(parts) if cut[p] < cut[p + 1]]
+                steps = (np.diff(keys[cut[p] : cut[p + 1]], prepend=np.uint64(0)) for p in some)
                 yield pa.record_batch(
                     [
-                        pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()),
-                        binaries(planes(keys[cut[p] : cut[p + 1]]) for p in some), binaries(planes(counts[cut[p] : cut[p + 1]]) for p in some),
+                        pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), pa.array([n] * len(some), pa.int32()),
+                        binaries(map(planes, steps)), binaries(planes(counts[cut[p] : cut[p + 1]]) for p in some),
                     ],
-                    ["part", "block", "keys", "counts"],
+                    ["part", "block", "n", "keys", "counts"],
                 )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: list[tuple[int, int]] = []
+        asked: list[tuple[int, int, int]] = []
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         for batch in batches:
-            for p, b, k, c in zip(*(column(batch, x).to_pylist() for x in ("part", "block", "keys", "counts"))):
-                asked.append((p, b))
-                keys.append(from_planes(k, np.uint64))
+            for p, b, n, k, c in zip(*(column(batch, x).to_pylist() for x in ("part", "block", "n", "keys", "counts"))):
+                asked.append((p, b, n))
+                keys.append(np.cumsum(from_planes(k, np.uint64), dtype=np.uint64))
                 counts.append(from_planes(c, np.uint32))
         if not asked:
             return
-        every = np.concatenate(keys)
-        place = np.argsort(every)
-        ranked = every[place]
-        fresh = np.append(True, ranked[1:] != ranked[:-1])
-        sums = np.add.reduceat(np.concatenate(counts)[place].astype(np.int64), np.flatnonzero(fresh))
-        totals = np.empty(len(every), np.int64)
-        totals[place] = sums[np.cumsum(fresh) - 1]
-        stop = 0
-        for (p, b), k in zip(asked, keys):
-            start, stop = stop, stop + len(k)
-            yield pa.record_batch(
-                [pa.array([b], pa.int64()), pa.array([p], pa.int32()), binaries([planes(totals[start:stop])])], ["block", "part", "totals"]
-            )
+        stops = np.cumsum([len(k) for k in keys])
+        totals = np.zeros(int(stops[-1]), np.uint64)
+        for n in range(1, order + 1):  # n-grams of different n do not meet
+            own = [i for i, a in enumerate(asked) if a[2] == n]
+            if not own:
+                continue
+            every = np.concatenate([keys[i] for i in own])
+            place = np.argsort(every)
+            every = every[place]
+            fresh = np.append(True, every[1:] != every[:-1])
+            sums = np.add.reduceat(np.concatenate([counts[i] for i in own])[place].astype(np.uint64), np.flatnonzero(fresh))
+            back = np.empty(len(every), np.uint64)
+            back[place] = sums[np.cumsum(fresh) - 1]
+            start = 0
+            for i in own:
+                totals[stops[i] - len(keys[i]) : stops[i]] = back[start : start + len(keys[i])]
+                start += len(keys[i])
+        for (p, b, n), k, stop in zip(asked, keys, stops.tolist()):
+            data = binaries([planes(totals[stop - len(k) : stop])])
+            yield pa.record_batch([pa.array([b], pa.int64()), pa.array([p], pa.int32()), pa.array([n], pa.int32()), data], ["block", "part", "n", "totals"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                sums = _block_scores(row, order, backoff, total)
-                n = pa.array(row["n_words"], pa.int64())
-                yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), n, pa.array(sums)], ["doc_id", "n_words", "log_score"])
-
-    requests = blocks.mapInArrow(ask, "part int, block long, keys binary, counts binary")
-    answers = requests.repartitionById(parts, "part").mapInArrow(answer, "block long, part int, totals binary")
-    per_block = answers.groupBy("block").agg(F.collect_list(F.struct("part", "totals")).alias("answers"))
+        for row in _rows(batches):
+            sums = _block_scores(row, order, bits, backoff, total)
+            n = pa.array(row["n_words"], pa.int64())
+            yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), n, pa.array(sums)], ["doc_id", "n_words", "log_score"])
+
+    requests = blocks.mapInArrow(ask, "part int, block long, n int, keys binary, counts binary")
+    answers = requests.repartitionById(parts, "part").mapInArrow(answer, "block long, part int, n int, totals binary")
+    per_block = answers.groupBy("block").agg(F.collect_list(F.struct("n", "part", "totals")).alias("answers"))
     rows = blocks.join(per_block, "block", "left").mapInArrow(settle, "doc_id long, n_words long, log_score double")
     return rows.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
-def _block_scores(row: dict, order: int, backoff: float, total: int) -> np.ndarray:
-    """The summed score of each document of a block."""
-    hashes, places, doc, before = grams(row, order)
-    n_docs = len(row["n_words"])
-    if not len(doc):
-        return np.zeros(n_docs)
-    every = np.concatenate(hashes)
-    of = np.concatenate([doc[at] for at in places]).astype(np.uint64)
-    place = np.argsort(every)
-    ranked = every[place]
-    number = np.empty(len(every), np.uint64)
-    number[place] = np.cumsum(np.append(True, ranked[1:] != ranked[:-1])).astype(np.uint64) - np.uint64(1)
-    del ranked
-    answers = sorted(row["answers"] or [], key=lambda a: a["part"])
-    totals = np.concatenate([from_planes(a["totals"], np.int64) for a in answers])[number.astype(np.int64)]
-    own = of << np.uint64(40) | number  # a document and an n-gram
+def _others(hashes: np.ndarray, doc: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """For each n-gram, its count in other documents; `totals` are the counts of the different hashes in order."""
+    place = np.argsort(hashes)
+    ranked = hashes[place]
+    number = np.empty(len(hashes), np.uint64)
+    number[place] = (np.cumsum(np.append(True, ranked[1:] != ranked[:-1])) - 1).astype(np.uint64)
+    own = doc.astype(np.uint64) << np.uint64(36) | number  # a document and an n-gram
     place = np.argsort(own)
     ranked = own[place]
-    start = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    length = np.diff(np.append(start, len(ranked)))
-    others = totals
-    others[place] -= np.repeat(length, length)  # what other documents count
-    sizes = np.array([len(x) for x in hashes])
-    known = []
-    for n, (at, part) in enumerate(zip(places, np.split(others, np.cumsum(sizes)[:-1])), 1):
-        whole = np.zeros(len(doc), np.int64)
-        whole[at] = part
-        known.append(whole)
-    rest = np.maximum(total - np.array(row["n_words"], np.int64), 1)[doc]
-    value = np.log(np.maximum(known[0], 0.5) / rest) + np.log(backoff) * np.minimum(before, order - 1)
-    for n in range(2, order + 1):  # longer ones overrule shorter ones
-        hit = np.flatnonzero(known[n - 1] > 0)
-        value[hit] = np.log(known[n - 1][hit] / known[n - 2][hit - 1]) + np.log(backoff) * (np.minimum(before[hit], order - 1) - (n - 1))
-    return np.bincount(doc, value, n_docs)
+    length = np.diff(np.append(np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])), len(ranked)))
+    out = totals[number.astype(np.int64)]
+    out[place] -= np.repeat(length, length)
+    return out
+
+
+def _block_scores(row: dict, order: int, bits: int, backoff: float, total: int) -> np.ndarray:
+    """The summed score of each document of a block."""
+    words = Words(row)
+    doc, before = words.doc, words.before
+    if not len(doc):
+        return np.zeros(len(words.counts))
+    answers = sorted(row["answers"] or [], key=lambda a: (a["n"], a["part"]))
+    rest = np.maximum(total - words.counts, 1)[doc]
+    value = shorter = np.zeros(0)
+    for n, hashes, at in words.grams(order, bits):  # longer ones overrule shorter ones
+        if not len(at):
+            break
+        totals = np.concatenate([from_planes(a["totals"], np.int64) for a in answers if a["n"] == n])
+        known = np.zeros(len(doc), np.int64)
+        known[at] = _others(hashes, doc[at], totals)
+        if n == 1:
+            value = np.log(np.maximum(known, 0.5) / rest) + np.log(backoff) * np.minimum(before, order - 1)
+        else:
+            hit = np.flatnonzero(known > 0)
+            value[hit] = np.log(known[hit] / shorter[hit - 1]) + np.log(backoff) * (np.minimum(before[hit], order - 1) - (n - 1))
+        shorter = known
+    return np.bincount(doc, value, len(words.counts))
 
 
 def new_name() -> str:
