@@ -41,7 +41,7 @@ QUANTILE, SLACK, SPREAD = 0.995, 1.5, 4.0
 UNKNOWN = "und"
 LETTERS = re.compile(rf"[^\W\d_]{{1,{RUN}}}")
 #: Scores that a Python worker remembers, in words times languages.
-REMEMBERED = 4_000_000
+REMEMBERED = 1_200_000
 
 _FACTORS = mix64((np.arange(16, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
