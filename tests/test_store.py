@@ -66,16 +66,14 @@ def test_compaction_merges_files_and_keeps_rows(spark, store):
 
 
 def test_shared_folder_comes_from_the_session():
-    def session(master, **conf):
-        conf = {k.replace("_", "."): v for k, v in conf.items()}
-        return SimpleNamespace(
-            conf=SimpleNamespace(get=lambda k, default: conf.get(k, default)), sparkContext=SimpleNamespace(master=master)
-        )
+    def session(**conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, default: conf.get(k, default), set=conf.__setitem__), made=conf)
 
-    named = session("yarn", spark_checkpoint_dir="/shared/place/")
+    named = session(**{"spark.checkpoint.dir": "/shared/place/"})
     assert storage.shared_folder(named, "x").startswith("/shared/place/x-")
-    with pytest.raises(ValueError):
-        storage.shared_folder(session("yarn"), "x")
+    unset = session()
+    first = storage.shared_folder(unset, "x")
+    assert first.startswith(unset.made["spark.checkpoint.dir"])
 
 
 def test_channels_are_typed(spark, tmp_path):

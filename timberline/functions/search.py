@@ -37,7 +37,7 @@ def everything() -> Column:
 
 def phrase(field: Column, text: str) -> Column:
     words = r"\W+".join(re.escape(w) for w in text.split())
-    return matches(field, rf"(?i)(^|\W){words}(\W|$)")
+    return matches(field, rf"(?iuU)(^|\W){words}(\W|$)")
 
 
 def term(field: Column, text: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions.extract import matches, parse
 from timberline.functions.grammar import block, line_pattern
-from timberline.functions.tags import add_tags
+from timberline.functions.tags import add_tags, failed
 
 # Fixed value: the session record as the device writes it.
 NETSCREEN = line_pattern(
@@ -38,9 +38,10 @@ def parse_netscreen(df: DataFrame) -> DataFrame:
 
 def parse_iptables(df: DataFrame) -> DataFrame:
     """Action, protocol, addresses and ports of lines the firewall logged."""
-    df = parse(df, IPTABLES, longs=["src_port", "dst_port"])
+    df = parse(df, IPTABLES, longs=["src_port", "dst_port"], tag=False)  # most lines are of another kind
     is_iptables = F.coalesce(F.col("message").contains("IPTables"), F.lit(False))
-    return df.withColumn("tags", add_tags(F.col("tags"), "IPTABLES", when=is_iptables))
+    tags = add_tags(F.col("tags"), "IPTABLES", when=is_iptables)
+    return df.withColumn("tags", failed(tags, F.col("parsed") | ~is_iptables))
 
 
 def parse_pan(df: DataFrame) -> DataFrame:

@@ -8,32 +8,28 @@ from pyspark.sql import functions as F
 from timberline.functions.extract import matches
 
 CHUNK = 1 << 16
-LONGEST = 1 << 20
+#: Chunks whose summaries are looked through together.
+GROUP = 1 << 12
 
 
 def assemble(
-    df: DataFrame,
-    source: str,
-    seq: str,
-    continuation: str,
-    message: str = "message",
-    chunk: int = CHUNK,
-    longest: int = LONGEST,
+    df: DataFrame, source: str, seq: str, continuation: str, message: str = "message", chunk: int = CHUNK
 ) -> DataFrame:
     """One row per event: the first line's columns, with all its lines in ``message``.
 
-    ``seq`` orders the lines of a source.  A running window per source would put
-    a busy source into one task, so each source is cut into chunks of ``chunk``
-    sequence numbers.  Inside a chunk a window finds the start line; lines before
-    the first start of their chunk take the last start of the chunks before,
-    found on one summary row per chunk.  Every line is shuffled twice, on
-    (source, chunk) and on the event, and never on the source alone.
+    ``seq`` orders the lines of a source; a line without one is an error, since its place
+    is not known.  A running window per source would put a busy source into one task, so
+    each source is cut into chunks of ``chunk`` sequence numbers.  Inside a chunk a window finds
+    the start line; lines before the first start of their chunk take the last start of the
+    chunks before, found on one summary row per chunk and, above those, one per group of
+    chunks.  Every line is shuffled twice, on (source, chunk) and on the event, and
+    never on the source alone.
 
-    An event that spans more than ``longest`` sequence numbers comes out as
-    several rows, numbered by ``part``, so that no row or task is unbounded.
     Without a start line at all, the first line of a source starts an event.
     """
     others = [c for c in df.columns if c not in (source, seq, message)]
+    missing = F.raise_error(F.lit(f"multi-line assembly needs {seq} in every line"))
+    df = df.withColumn(seq, F.coalesce(F.col(seq), missing.cast(df.schema[seq].dataType)))
     lines = df.withColumns(
         {
             source: F.coalesce(source, F.lit("")),
@@ -41,24 +37,25 @@ def assemble(
             "_start": F.when(~matches(F.col(message), continuation), F.col(seq)),
         }
     )
-    before = Window.partitionBy(source).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = lines.groupBy(source, "_chunk").agg(F.max("_start").alias("_last"), F.min(seq).alias("_first"))
+    chunks = chunks.withColumn("_group", F.floor(F.col("_chunk") / GROUP))
+    groups = chunks.groupBy(source, "_group").agg(F.max("_last").alias("_glast"), F.min("_first").alias("_gfirst"))
+    before = Window.partitionBy(source).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(source)
-    carry = (
-        lines.groupBy(source, "_chunk")
-        .agg(F.max("_start").alias("_last"), F.min(seq).alias("_first"))
-        .select(
-            source, "_chunk", F.coalesce(F.max("_last").over(before), F.min("_first").over(whole)).alias("_carry")
-        )
+    groups = groups.select(
+        source, "_group", F.coalesce(F.max("_glast").over(before), F.min("_gfirst").over(whole)).alias("_before")
     )
+    inside = Window.partitionBy(source, "_group").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = chunks.withColumn("_found", F.max("_last").over(inside)).join(groups, [source, "_group"])
+    carry = carry.select(source, "_chunk", F.coalesce("_found", "_before").alias("_carry"))
     in_chunk = Window.partitionBy(source, "_chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("_own", F.max("_start").over(in_chunk)).join(carry, [source, "_chunk"], "left")
     lines = lines.withColumn("_event", F.coalesce("_own", "_carry"))
-    lines = lines.withColumn("part", F.floor((F.col(seq) - F.col("_event")) / longest))
 
     first = [F.min_by(c, seq).alias(c) for c in others]
     ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(message).alias("m"))))
     return (
-        lines.groupBy(source, F.col("_event").alias(seq), "part")
+        lines.groupBy(source, F.col("_event").alias(seq))
         .agg(*first, F.count("*").alias("n_lines"), ordered.alias("_lines"))
         .withColumn(message, F.array_join("_lines.m", "\n"))
         .drop("_lines")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions.extract import lookup, parse, typed
 from timberline.functions.grammar import line_pattern, register_pattern
+from timberline.functions.tags import failed
 
 # Record type -> its fields, separated by ``;`` in the line.
 # The last field of a record takes the rest of the line.
@@ -70,4 +71,6 @@ def parse_nagios(df: DataFrame) -> DataFrame:
     numbers = ["attempt", "start_time", "end_time", "fixed", "trigger_id", "duration"]
     out = typed(out, [f"nagios_{n}" for n in numbers])
     out["nagios_epoch"] = F.col("nagios_epoch").try_cast("bigint")
+    if "tags" in df.columns:
+        df = df.withColumn("tags", failed(F.col("tags"), F.coalesce("parsed", F.lit(False))))
     return df.withColumns(out).drop("_line", "_warning", "_rest", "_kind", "_limit", "_places", "_cells")

@@ -28,7 +28,6 @@ INTERVALS = {
     "1y": 31536000,
 }
 _CALENDAR = {"1w": "week", "1M": "month", "1y": "year"}
-_STEP = {"1w": "INTERVAL 7 DAYS", "1M": "INTERVAL 1 MONTH", "1y": "INTERVAL 1 YEAR"}
 
 
 def bucket(ts: Column, interval: str) -> Column:
@@ -46,7 +45,16 @@ def auto_interval(span: dt.timedelta, resolution: int = 100) -> str:
 
 
 def histogram(df: DataFrame, interval: str, series: str = "series", ts: str = "event_ts") -> DataFrame:
-    """Events per bucket and series."""
+    """Events per bucket and series.
+
+    On a stream the buckets are windows, which keep the watermark, so that closed buckets leave
+    the state; weeks, months and years are for tables only.
+    """
+    if df.isStreaming:
+        if interval in _CALENDAR:
+            raise ValueError(f"no live buckets of {interval}")
+        width = F.window(ts, f"{INTERVALS[interval]} seconds")
+        return df.groupBy(series, width.alias("w")).agg(F.count("*").alias("n")).select(series, F.col("w.start").alias("bucket"), "n")
     return df.groupBy(series, bucket(F.col(ts), interval).alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -74,12 +82,19 @@ def zero_fill(counts: DataFrame, start: dt.datetime, end: dt.datetime, interval:
     The grid is added to the counts and summed, which needs no join.
     """
     spark = counts.sparkSession
-    step = _STEP.get(interval, f"INTERVAL {INTERVALS[interval]} SECONDS")
     first, last = (bucket(F.lit(t).cast("timestamp"), interval) for t in (start, end))
+    shortest = {"1M": 28 * 86400, "1y": 365 * 86400}.get(interval, INTERVALS[interval])
+    steps = int(max((end - start).total_seconds(), 0) // shortest) + 2
+    if interval == "1M":
+        bucket_at = first + F.make_interval(months=F.col("id").cast("int"))
+    elif interval == "1y":
+        bucket_at = first + F.make_interval(years=F.col("id").cast("int"))
+    else:
+        bucket_at = F.timestamp_seconds(F.unix_seconds(first) + F.col("id") * INTERVALS[interval])
     grid = (
-        spark.range(1)
-        .select(F.explode(F.array(*[F.lit(n) for n in names])).alias("series"))
-        .withColumn("bucket", F.explode(F.sequence(first, last, F.expr(step))))
+        spark.range(steps + 1)  # rows, not one array, so that a long range is spread over tasks
+        .select(F.explode(F.array(*[F.lit(n) for n in names])).alias("series"), bucket_at.alias("bucket"))
+        .filter(F.col("bucket") <= last)
         .withColumn("n", F.lit(0).cast("bigint"))
     )
     both = counts.select("series", "bucket", "n").unionByName(grid)

@@ -18,11 +18,20 @@ BSD = [
     line_pattern(r"<{syslog_pri:pri}>{:space}{message_remainder:rest}"),
 ]
 
+# RFC 5424: PRI VERSION SP TIMESTAMP SP HOSTNAME SP APP-NAME SP PROCID SP MSGID SP STRUCTURED-DATA [SP MSG];
+# a hyphen is no value.
 RFC5424 = line_pattern(
-    r"<{syslog5424_pri:nonnegint}>{syslog5424_ver:nonnegint} (?:{syslog5424_ts:isotime}|-) "
-    r"(?:{syslog5424_host:hostname}|-) (?:{syslog5424_app:word}|-) (?:{syslog5424_proc:word}|-) "
-    r"(?:{syslog5424_msgid:word}|-) (?:{syslog5424_sd:sdelement}|-) {syslog5424_msg:rest}"
-)
+    r"<{syslog5424_pri:pri}>{syslog5424_ver:posint} "
+    + " ".join(
+        f"(?:-|{{syslog5424_{name}:{kind}}})"
+        for name, kind in [
+            ("ts", "isotime"), ("host", "printable"), ("app", "printable"),
+            ("proc", "printable"), ("msgid", "printable"), ("sd", "sdelement"),
+        ]
+    )
+    + r"(?: {syslog5424_msg:all})?",
+    at_start=True,
+)
 
 _BASE = (
     r"(?:{timestamp:syslogtime}|{timestamp8601:isotime}) (?:<{facility:nonnegint}.{priority:nonnegint}> )?"

@@ -12,9 +12,9 @@ from timberline.functions.tags import failed
 
 _INFO = r"\[{message_thread_id:data} {syslog_level:data} '{message_service:data}' ?{message_opID:data}\]"
 _BODIES = [
-    _INFO + r" \[{message_service_info:data}\] {syslog_message:rest}",
-    _INFO + r" {syslog_message:rest}",
-    r"{syslog_message:rest}",
+    _INFO + r" \[{message_service_info:data}\] {syslog_message:all}",
+    _INFO + r" {syslog_message:all}",
+    r"{syslog_message:all}",
 ]
 _ESXI = (
     r"<{syslog_pri:pri}>{syslog_timestamp:isotime} {syslog_hostname:iporhost} "

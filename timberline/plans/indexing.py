@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.tags import tags_by_type
 from timberline.operators.cisco import flow_fingerprint, parse_asa
+from timberline.operators.databases import parse_mysql_slow, parse_postgres, parse_redis
+from timberline.operators.enrich import geo_enrich, host_resolve
+from timberline.operators.nagios import parse_nagios
 from timberline.operators.syslog import parse_logins, parse_syslog
 from timberline.operators.vmware import parse_esxi, parse_storage_health, parse_vcenter
 from timberline.operators.web import parse_access_log, parse_iis
@@ -17,6 +20,14 @@ from timberline.operators.windows import normalize_eventlog
 from timberline.sources.storage import route
 from timberline.sources.template import apply_template, prune
 
+
+def _timed(df: DataFrame, when: Column | None = None) -> DataFrame:
+    """The event's own time, or that of its arrival; host and text under their common names."""
+    own = F.col("event_ts") if "event_ts" in df.columns else F.lit(None).cast("timestamp")
+    time = F.coalesce(when if when is not None else own, "received_at")
+    return df.withColumns({"event_ts": time, "source_host": F.col("host"), "msg": F.col("message")})
+
+
 PARSERS = {
     "syslog": lambda df: parse_logins(parse_syslog(df)),
     "firewall": lambda df: flow_fingerprint(parse_asa(df)),
@@ -26,25 +37,62 @@ PARSERS = {
     "apache": parse_access_log,
     "nginx": parse_access_log,
     "iis": parse_iis,
+    "nagios": lambda df: _timed(parse_nagios(df), F.timestamp_seconds("nagios_epoch")),
+    "mysql-slowquery": lambda df: _timed(parse_mysql_slow(df)),
+    "redis": lambda df: _timed(parse_redis(df)),
+    "postgres": lambda df: _timed(parse_postgres(df)),
 }
 
 
-def parse_type(raw: DataFrame, source_type: str) -> DataFrame:
-    """Tag, parse, type and prune the events of one type.
+#: Types whose source address is located when address ranges are given.
+LOCATED = ("firewall", "apache", "nginx", "iis")
+
+
+def parse_other(df: DataFrame) -> DataFrame:
+    """Events that no rule knows: kept as they came, at the time they arrived."""
+    return df.withColumns({"event_ts": F.col("received_at"), "source_host": F.col("host"), "msg": F.col("message")})
 
-    Only narrow steps: on a bronze table partitioned by ``type`` the filter picks the
-    type's folders, and the same function serves batch and stream.
+
+def parse_type(
+    raw: DataFrame, source_type: str, blocks: DataFrame | None = None, hosts: DataFrame | None = None
+) -> DataFrame:
+    """Tag, parse, enrich, type and prune the events of one type.
+
+    On a bronze table partitioned by ``type`` the filter picks the type's folders.  Without the
+    tables of address ranges (``blocks``) and of hosts all steps are narrow, and the same
+    function serves batch and stream.
     """
     df = raw.filter(F.col("type") == source_type)
     df = PARSERS[source_type](df.withColumn("tags", tags_by_type(F.col("type"), F.col("tags"))))
+    return _finish(df, source_type, blocks, hosts)
+
+
+def _finish(df: DataFrame, source_type: str, blocks: DataFrame | None, hosts: DataFrame | None) -> DataFrame:
+    if blocks is not None and source_type in LOCATED:
+        df = geo_enrich(df, "src_ip", blocks)
+    if hosts is not None:
+        df = host_resolve(df, "source_host", hosts)
     return prune(apply_template(df), source_type)
 
 
-def index_events(raw: DataFrame | Mapping[str, DataFrame], types: Sequence[str] | None = None) -> DataFrame:
-    """All types as one wide table with family, day and index name.
+def index_events(
+    raw: DataFrame | Mapping[str, DataFrame],
+    types: Sequence[str] | None = None,
+    blocks: DataFrame | None = None,
+    hosts: DataFrame | None = None,
+) -> DataFrame:
+    """All events as one wide table with family, day and index name.
 
-    ``raw`` is one table of all types, or one table per type.
+    ``raw`` is one table of all types, or one table per type.  Types without a parser, and a NULL
+    type, go to the default family unparsed: every row in is a row out, but for the
+    ``#`` header lines of IIS and the lines of MySQL entries, which are assembled first.
     """
-    types = list(types or (raw if isinstance(raw, Mapping) else PARSERS))
-    frames = [parse_type(raw[t] if isinstance(raw, Mapping) else raw, t) for t in types]
+    if isinstance(raw, Mapping):
+        frames = [parse_type(raw[t], t, blocks, hosts) for t in types or raw if t in PARSERS]
+        others = [raw[t] for t in types or raw if t not in PARSERS]
+    else:
+        frames = [parse_type(raw, t, blocks, hosts) for t in types or PARSERS]
+        known = F.coalesce(F.col("type").isin(*(types or PARSERS)), F.lit(False))
+        others = [raw.filter(~known)] if types is None else []
+    frames += [_finish(parse_other(df), "", blocks, hosts) for df in others]
     return route(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import os
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -15,15 +14,14 @@ PARTITIONS = ["index_family", "event_date"]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared folder the cluster names.
+    """A new folder under spark.checkpoint.dir, the folder that the driver and all executors share.
 
-    Without one, a local run makes its own; a cluster must name it.
+    Only where that is unset, as in tests, a folder of this machine is made and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = os.path.join(tempfile.gettempdir(), "timberline")
+        root = tempfile.mkdtemp(prefix="timberline-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -141,10 +139,7 @@ def compact(spark: SparkSession, path: str, family: str, day: dt.date, file_byte
     stamp = uuid.uuid4().hex
     fresh, aside = f"{path}/_fresh-{stamp}", f"{path}/_aside-{stamp}"
     events = spark.read.parquet(folder)
-    count = len(events.inputFiles())
-    # Few files are joined without a shuffle; a large day is spread evenly.
-    merged = events.coalesce(files) if files >= count // 8 else events.repartition(files)
-    merged.write.parquet(fresh)
+    events.repartition(files).write.parquet(fresh)
     fs.rename(old, _fs_path(spark, aside)[1])
     fs.rename(_fs_path(spark, fresh)[1], old)
     fs.delete(_fs_path(spark, aside)[1], True)

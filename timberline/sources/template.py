@@ -20,7 +20,7 @@ TEMPLATE = {name: "bigint" for name in LONG_FIELDS} | {"event_ts": "timestamp"}
 PRUNED = {
     "apache": ["clientip", "host", "timestamp"],
     "nginx": ["clientip", "host", "timestamp"],
-    "eventlog": ["SourceModuleType", "EventTimeWritten", "EventTime", "EventReceivedTime", "EventType"],
+    "eventlog": ["SourceModuleType", "EventTimeWritten", "EventReceivedTime", "EventType"],
     "iis": ["clientip", "host", "hostname", "logtime"],
     "syslog": ["host", "received_at", "received_from", "syslog_hostname", "syslog_message", "syslog_timestamp"],
     "VMware": ["host", "program", "syslog_hostname", "syslog_message", "syslog_timestamp"],

@@ -89,9 +89,9 @@ def assemble_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        raw = batch
+        raw = batch.withColumn(source, F.coalesce(source, F.lit("")))
         if batch_id > 0:
-            raw = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/open/batch={batch_id - 1}"))
+            raw = raw.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/open/batch={batch_id - 1}"))
         raw = raw.persist()
         last = raw.filter(~matches(F.col("message"), continuation)).groupBy(source).agg(F.max(seq).alias("_last"))
         marked = dimension_join(raw, last, [source])

@@ -631,7 +631,7 @@ def host_resolve(spark, folder):
     r"""SELECT doc_id, kind, value, count(*) AS n FROM (
     SELECT doc_id, 'ip' AS kind, unnest(regexp_extract_all(text, '(?:^|[^0-9])((?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})[.]){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2}))(?:[^0-9]|$)', 1)) AS value FROM documents
     UNION ALL SELECT doc_id, 'uuid', unnest(regexp_extract_all(text, '[A-Fa-f0-9]{8}-(?:[A-Fa-f0-9]{4}-){3}[A-Fa-f0-9]{12}')) FROM documents
-    UNION ALL SELECT doc_id, 'url', unnest(regexp_extract_all(text, '[A-Za-z]+(?:\+[A-Za-z+]+)?://[A-Za-z0-9.-]+[A-Za-z0-9](?:/[A-Za-z0-9$.+!*''(){},~:;=@#%_/-]*)?(?:\?[A-Za-z0-9$.+!*''|(){},~@#%&/=:;_?\[\]-]*)?')) FROM documents
+    UNION ALL SELECT doc_id, 'url', unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9+.-]*://[^ \t\n\r\f/?#"<>]+(?:/[/A-Za-z0-9._~%!$&''()*+,;=:@-]*)?(?:[?][/?A-Za-z0-9._~%!$&''()*+,;=:@-]*)?(?:#[/?A-Za-z0-9._~%!$&''()*+,;=:@-]*)?')) FROM documents
     UNION ALL SELECT doc_id, 'user', unnest(regexp_extract_all(text, '[a-zA-Z0-9._-]+@[0-9A-Za-z][0-9A-Za-z-]{0,62}(?:\.[0-9A-Za-z][0-9A-Za-z-]{0,62})+')) FROM documents
     ) GROUP BY ALL""",
 )
@@ -662,12 +662,12 @@ _DOC_LINES = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS
 
 @query(
     "multiline_assemble",
-    f"""WITH {_DOC_LINES} SELECT 'doc' || cast(doc_id as varchar) AS host, cast(start as bigint) AS ingest_seq, cast(0 as bigint) AS part, 'VMware' AS type,
+    f"""WITH {_DOC_LINES} SELECT 'doc' || cast(doc_id as varchar) AS host, cast(start as bigint) AS ingest_seq, 'VMware' AS type,
     count(*) AS n_lines, md5(string_agg(message, chr(10) ORDER BY pos)) AS digest FROM grouped GROUP BY doc_id, start""",
 )
 def multiline_assemble(spark, folder):
     df = multiline.assemble(L.document_lines(spark, folder), "host", "ingest_seq", "-->")
-    return df.select("host", "ingest_seq", "part", "type", "n_lines", F.md5("message").alias("digest"))
+    return df.select("host", "ingest_seq", "type", "n_lines", F.md5("message").alias("digest"))
 
 
 @query(

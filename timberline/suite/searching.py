@@ -73,7 +73,7 @@ _TEXTS = "t AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNI
 @query(
     "search_phrase",
     rf"""WITH {_TEXTS} SELECT kind, id, count(*) AS n FROM t
-    WHERE regexp_matches(text, '(?i){_BOUNDARY}of[^0-9A-Za-z_]+the([^0-9A-Za-z_]|$)') OR regexp_matches(text, '(?i){_BOUNDARY}de[^0-9A-Za-z_]+la([^0-9A-Za-z_]|$)') GROUP BY ALL""",
+    WHERE regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{M}}\p{{N}}_])of[^\p{{L}}\p{{M}}\p{{N}}_]+the([^\p{{L}}\p{{M}}\p{{N}}_]|$)') OR regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{M}}\p{{N}}_])de[^\p{{L}}\p{{M}}\p{{N}}_]+la([^\p{{L}}\p{{M}}\p{{N}}_]|$)') GROUP BY ALL""",
 )
 def search_phrase(spark, folder):
     text = F.col("text")
