@@ -43,6 +43,16 @@ def test_scan_opens_only_the_days_of_the_range(spark, store):
     assert df.count() == sum(1 for i in range(4000) if i % 5 == 0 and i % 12 in (1, 2)) * 2
 
 
+def test_closed_days_are_not_read(spark, store):
+    whole = (dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31))
+    df = storage.scan_events(spark, store, *whole, today=DAY)
+    plan = storage.retention_plan(storage.daily_partitions(spark.read.parquet(store)), storage.policy_table(spark), F.lit(DAY))
+    still = {(r.index_family, r.event_date) for r in plan.filter("not closed").collect()}
+    assert {(r.index_family, r.event_date) for r in df.select(*storage.PARTITIONS).distinct().collect()} == still
+    assert "event_date" in df._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+    assert storage.scan_events(spark, store, *whole).count() == 8000
+
+
 def test_retention_deletes_only_old_days(spark, store):
     parts = storage.daily_partitions(spark.read.parquet(store))
     plan = storage.retention_plan(parts, storage.policy_table(spark), F.lit(DAY))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import re
 
 from pyspark.sql import Column
@@ -47,6 +49,8 @@ def first_time(text: Column, *formats: str) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
+#: How far ahead of its arrival a line's own time is believed.
+CLOCK_AHEAD = dt.timedelta(days=1)
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
 

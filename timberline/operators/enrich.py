@@ -15,8 +15,6 @@ GEO_TEXT = [
     "city_name", "continent_code", "country_code2", "country_code3", "country_name",
     "postal_code", "region_name", "time_zone",
 ]
-BROADCAST_ROWS = 200_000
-SALTS = 64
 
 
 def dimension_join(
@@ -24,19 +22,17 @@ def dimension_join(
     dim: DataFrame,
     keys: Sequence[str],
     also: Column | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    salts: int = 0,
 ) -> DataFrame:
-    """Left join with a dimension, safe for hot keys at any dimension size.
+    """Left join with a dimension.
 
-    The dimension is counted first.  Up to ``broadcast_rows`` rows it is
-    broadcast.  Beyond that both sides are shuffled, and each key is spread over
-    ``salts`` groups: facts by the task that read them, the dimension by copies.
-    Facts without a key are spread the same way.
+    Spark broadcasts the dimension if it is small in bytes, and otherwise shuffles both sides and
+    splits the skewed partitions it meets.  For hot keys where it cannot re-plan (streams), ``salts``
+    spreads each key over that many groups: facts by the task that read them, the
+    dimension by copies, and facts without a key the same way.
     """
-    if dim.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        side, on = F.broadcast(dim), list(keys)
-    else:
+    side, on = dim, list(keys)
+    if salts:
         df = df.withColumn("_salt", F.spark_partition_id() % salts)
         side = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         on = [*keys, "_salt"]

@@ -53,6 +53,14 @@ def write_events(df: DataFrame, path: str, mode: str = "append", records_per_fil
     )
 
 
+# Index family -> days after which partitions are merged, closed, deleted.
+POLICIES = {
+    "redhat": (2, 4, 8),
+    "logstash": (2, 4, 8),
+    ".marvel": (2, 7, 60),
+}
+
+
 def scan_events(
     spark: SparkSession,
     path: str,
@@ -60,23 +68,25 @@ def scan_events(
     end: dt.datetime,
     families: Sequence[str] | None = None,
     ts: str = "event_ts",
+    today: dt.date | None = None,
+    policies: dict[str, tuple[int, int, int]] | None = None,
 ) -> DataFrame:
-    """Read only the day folders (and families) that cover a time range."""
+    """Read only the day folders (and families) that cover a time range.
+
+    With ``today``, the days that the policy of their family has closed are left out, also
+    by their folders; without it, all days that are there are read.
+    """
     df = spark.read.parquet(path)
     days = F.col("event_date").between(F.lit(start.date()), F.lit(end.date()))
     if families:
         days = days & F.col("index_family").isin(*families)
+    if today is not None:
+        for family, (_, close, _) in (policies or POLICIES).items():
+            open_since = F.col("event_date") >= F.lit(today - dt.timedelta(days=close))
+            days = days & ((F.col("index_family") != family) | open_since)
     return df.filter(days & F.col(ts).between(F.lit(start), F.lit(end)))
 
 
-# Index family -> days after which partitions are merged, closed, deleted.
-POLICIES = {
-    "redhat": (2, 4, 8),
-    "logstash": (2, 4, 8),
-    ".marvel": (2, 7, 60),
-}
-
-
 def policy_table(spark: SparkSession, policies: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
     names = ["index_family", "optimize_days", "close_days", "delete_days"]
     rows = [

@@ -435,8 +435,7 @@ def dashboard_central(spark, folder):
     """Raw syslog lines to the central dashboard's panels."""
     as_of = latest(table(spark, folder, "events"), "ts").replace(microsecond=0)
     raw = L.syslog_lines(spark, folder)
-    # No line arrives before it happened: arrivals older than the range cannot be in it.
-    raw = raw.filter(F.col("received_at") >= F.lit(as_of - S.TIME_RANGES[CENTRAL.span]))
+    raw = raw.filter(S.arrived_since(F.col("received_at"), as_of, CENTRAL.span))
     raw = raw.withColumn("received_at", F.date_trunc("second", "received_at"))
     df = syslog.parse_syslog(raw.withColumn("tags", tags_by_type(F.col("type"), F.col("tags"))))
     return CENTRAL.panels(df, as_of)
@@ -452,7 +451,7 @@ _GOOD = f"NOT ({L.CORRUPT})"
 def _windows_dashboard(board, spark, folder):
     as_of = latest(table(spark, folder, "events"), "ts")
     raw = L.eventlog_lines(spark, folder)
-    raw = raw.filter(F.col("received_at") >= F.lit(as_of - S.TIME_RANGES[board.span]))
+    raw = raw.filter(S.arrived_since(F.col("received_at"), as_of, board.span))
     return board.panels(windows.normalize_eventlog(raw), as_of)
 
 
