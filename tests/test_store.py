@@ -9,9 +9,10 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from timberline.operators.multiline import assemble
 from timberline.session import prepare
 from timberline.sources import storage
-from timberline.sources.channels import read_channels
+from timberline.sources.channels import read_channel, read_channels
 from timberline.sources.template import apply_template
 
 DAY = dt.date(2024, 1, 20)
@@ -94,6 +95,24 @@ def test_channels_are_typed(spark, tmp_path):
     assert sorted((r.type, r.message, r.tags) for r in df.collect())[0] == ("iis", "iis one", [])
 
 
+def test_lines_of_files_are_assembled_in_their_order(spark, tmp_path):
+    """Files to events, with splits far smaller than the files."""
+    text = {f: [f"{f} {i}" if i % 7 == 0 else f"--> {f} {i}" for i in range(3000)] for f in "abc"}
+    os.makedirs(tmp_path / "logs")
+    for f, rows in text.items():
+        (tmp_path / "logs" / f).write_text("\n".join(rows) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        raw = read_channel(spark, str(tmp_path / "logs"), "VMware")
+        assert raw.rdd.getNumPartitions() > 10
+        events = assemble(raw, "source_file", "ingest_seq", "^-->").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = sorted(e.message for e in events)
+    assert got == sorted("\n".join(rows[i : i + 7]) for rows in text.values() for i in range(0, 3000, 7))
+    assert {e.type for e in events} == {"VMware"}
+
+
 def test_template_reports_bad_values(spark):
     df = spark.createDataFrame([("1", "x", None)], "bytes string, retries string, feconn string")
     row = apply_template(df).first()

@@ -32,13 +32,25 @@ def events_of(lines: DataFrame, channel: str) -> DataFrame:
         (F.col("received_at") if "received_at" in have else F.current_timestamp()).alias("received_at"),
         (F.col("ingest_seq") if "ingest_seq" in have else F.lit(None).cast("bigint")).alias("ingest_seq"),
         no_tags().alias("tags"),
+        *(["source_file"] if "source_file" in have else []),
     )
 
 
 def read_channel(spark: SparkSession, path: str, channel: str, stream: bool = False, **options: str) -> DataFrame:
-    """A directory of text files as one typed channel."""
+    """A directory of text files as one typed channel, with the file of each line.
+
+    ``ingest_seq`` orders the lines of a file: where its split starts, plus the lines that the
+    task has read before, which are never more than the bytes of a split.  Streams number no
+    lines, so there it is NULL.
+    """
     reader = spark.readStream if stream else spark.read
-    lines = reader.options(**options).text(path).withColumnRenamed("value", "message")
+    lines = reader.options(**options).text(path)
+    file = F.col("_metadata.file_path").alias("source_file")
+    place = F.lit(None).cast("bigint")
+    if not stream:
+        read_before = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        place = F.col("_metadata.file_block_start") + read_before
+    lines = lines.select(F.col("value").alias("message"), file, place.alias("ingest_seq"))
     return events_of(lines, channel)
 
 
