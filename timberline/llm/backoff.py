@@ -21,6 +21,7 @@ SPARE bits more than it takes to number all of the corpus, 64 at most, so that a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import SPACED, binaries, column, mix64, partitions, prepare, scan, texts, shared_folder
+from timberline.llm.common import SPACED, binaries, column, mix64, new_path, partitions, prepare, scan, texts
 
 BLOCK_WORDS = 1 << 20
 ORDER = 3
@@ -130,10 +131,10 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_w
     has the score 0 and no mean.  Repeated rows are other documents.  Further columns are not read.
     """
     spark = prepare(docs.sparkSession)
-    shared_folder(spark)
     parts = partitions(spark)
-    name = f"timberline_blocks_{new_name()}"
-    make_blocks(docs, block_words).write.bucketBy(parts, "block").option("compression", "zstd").saveAsTable(name)
+    name = f"timberline_blocks_{uuid.uuid4().hex}"
+    writer = make_blocks(docs, block_words).write.bucketBy(parts, "block").option("compression", "zstd")
+    writer.option("path", new_path(spark, "blocks")).saveAsTable(name)
     blocks = spark.table(name)
     total = blocks.select(F.explode("n_words").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
@@ -238,9 +239,3 @@ def _block_scores(row: dict, order: int, bits: int, backoff: float, total: int)
             value[hit] = np.log(known[hit] / shorter[hit - 1]) + np.log(backoff) * (np.minimum(before[hit], order - 1) - (n - 1))
         shorter = known
     return np.bincount(doc, value, len(words.counts))
-
-
-def new_name() -> str:
-    import uuid
-
-    return uuid.uuid4().hex
