@@ -117,3 +117,20 @@ def test_template_reports_bad_values(spark):
     df = spark.createDataFrame([("1", "x", None)], "bytes string, retries string, feconn string")
     row = apply_template(df).first()
     assert (row.bytes, row.retries, row.feconn, row.parse_errors) == (1, None, None, ["retries"])
+
+
+def test_lockout_table_reads_the_written_store(spark, tmp_path):
+    """The dashboards' event tables find their fields in events that were pruned and stored."""
+    from timberline.fixtures import lines as L
+    from timberline.plans.dashboards import LOCKOUTS, WINDOWS
+    from timberline.plans.indexing import index_events
+
+    raw = L.eventlog_lines(spark, "/root/testdata/sf0.001")
+    path = str(tmp_path / "events")
+    storage.write_events(index_events({"eventlog": raw}), path)
+    kept = prepare(spark).read.parquet(path)
+    assert kept.count() == raw.count()
+    as_of = kept.agg(F.max("event_ts")).first()[0]
+    for board in (LOCKOUTS, WINDOWS):
+        rows = board.table(kept, as_of)
+        assert set(board.fields) <= set(rows.columns) and rows.count() > 0
