@@ -112,6 +112,38 @@ def test_language_rejects_what_is_in_no_language(spark):
     assert not any(r["accepted"] for r in rows)
 
 
+ITALIAN = (
+    "La nostra vita è un viaggio che comincia con la speranza e finisce nella memoria di coloro che ci hanno amato. Ogni mattina il "
+    "pescatore scendeva alla spiaggia, guardava le nuvole e decideva se mettere la barca in acqua oppure tornare a casa. Sua moglie "
+    "preparava il pane mentre i ragazzi giocavano nel cortile, e la vecchia zia raccontava storie di quando il paese non aveva ancora "
+    "luce elettrica. Nessuno sapeva quanto fosse lungo quell'inverno, ma tutti aspettavano insieme che tornasse il sole sopra le colline "
+    "e che gli alberi del giardino mettessero di nuovo le foglie."
+)
+FINNISH = (
+    "Suomen kesä on lyhyt mutta kaunis, ja järvien rannoilla ihmiset nauttivat auringosta, kun yöt ovat valoisia. Metsissä kasvaa "
+    "mustikoita, joita lapset poimivat koreihinsa ennen kuin syksy tulee taas. Vanha kalastaja istui laiturilla ja katseli, kuinka "
+    "pilvet liikkuivat hitaasti veden yläpuolella. Hänen poikansa oli muuttanut kaupunkiin töihin, mutta tuli joka viikonloppu "
+    "käymään ja toi mukanaan tuoretta leipää. Illalla he lämmittivät saunan, puhuivat menneistä vuosista ja miettivät, tulisiko "
+    "talvesta yhtä kylmä kuin silloin, kun meri jäätyi saariin asti ja hevoset kulkivat sen yli."
+)
+
+
+def test_language_rejects_short_texts_of_other_latin_languages(spark):
+    """Texts of 50, 200 and 500 characters in languages that were not learned, and random letters; clean texts stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    models = language.fit(docs)
+    rng = random.Random(4)
+    letters = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(100))
+    others = [t[:n] for t in (ITALIAN, FINNISH, letters) for n in (50, 200, 500)] + ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=43))]
+    rows = language.identify(spark.createDataFrame([(t,) for t in others], "text string"), models).collect()
+    assert [r["text"] for r in rows if r["accepted"]] == []
+    for length in (60, 200, 500, None):
+        short = docs.where(F.col("lang").isNotNull() & (F.length("text") >= (length or 1)))
+        short = short.withColumn("text", F.substring("text", 1, length)) if length else short
+        share = language.identify(short, models).agg(F.avg(F.col("accepted").cast("int"))).first()[0]
+        assert share >= 0.99, length
+
+
 # 2 mixing
 
 

@@ -8,8 +8,9 @@ n-gram hashes; a lookup is a binary search, and one search serves all languages.
 
 The language with the lowest cross-entropy is predicted.  From rows that the models have not
 seen come the sharpness of the score and, for each language, the cross-entropy above which a text
-is rejected: SLACK times the median, and for short texts, whose figure says less, SPREAD times
-the QUANTILE of what rows of that length stray from it, which shrinks with the root of the length.
+is rejected: SLACK times the median, and for short texts, whose figure says less, SPREAD standard
+deviations, which shrink with the root of the length.  The deviation is taken from the median of
+what these rows, whole and cut to the lengths CUTS, stray from the median, so odd rows do not widen it.
 
 Learning uses a bounded sample: at most ROWS rows a language, chosen by a hash of the text, of
 texts of at most LONGEST characters.  Every text is predicted as a whole, whatever its length;
@@ -37,7 +38,11 @@ ORDER = 4
 ROWS = 800
 LONGEST = 20_000
 RUN = 32
-QUANTILE, SLACK, SPREAD = 0.995, 1.5, 4.0
+SLACK, SPREAD = 1.5, 8.0
+#: Characters to which held-back texts are cut, at the end of a word, to see how short texts stray.
+CUTS = (30, 60, 120, 250, 500, 1000)
+#: Standard deviations of a normal distribution in a median deviation.
+DEVIATION = 1.4826
 UNKNOWN = "und"
 LETTERS = re.compile(rf"[^\W\d_]{{1,{RUN}}}")
 #: Scores that a Python worker remembers, in words times languages.
@@ -248,13 +253,21 @@ def fit(labelled: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> Models
     kept = sample.where(F.col("r") % 5 == 0)
     seen = _scored(kept, shared, "entropies array<double>, symbols long").where(F.col("entropies").isNotNull())
     rows_seen = seen.select("lang", "entropies", "symbols").collect()
-    _calibrate(models, [(models.languages.index(r["lang"]), r["entropies"], r["symbols"]) for r in rows_seen if r["lang"] in models.languages])
+    cut = kept.select("lang", "text", F.explode(F.array(*map(F.lit, CUTS))).alias("cut")).where(F.length("text") > F.col("cut"))
+    cut = cut.select("lang", F.regexp_replace(F.col("text").substr(F.lit(1), F.col("cut")), rf"\S{{1,{RUN}}}$", "").alias("text"))
+    cut = _scored(cut, shared, "symbols long, lang_pred string, cross_entropy double").where("lang = lang_pred")
+    short = [(models.languages.index(r["lang"]), r["cross_entropy"], r["symbols"]) for r in cut.drop("text").collect()]
+    _calibrate(models, [(models.languages.index(r["lang"]), r["entropies"], r["symbols"]) for r in rows_seen if r["lang"] in models.languages], short)
     shared.destroy()
     return models
 
 
-def _calibrate(models: Models, rows: list[tuple[int, list[float], int]]) -> None:
-    """The sharpness with the best likelihood of the right language, and the limits of rejection."""
+def _calibrate(models: Models, rows: list[tuple[int, list[float], int]], short: list[tuple[int, float, int]]) -> None:
+    """The sharpness with the best likelihood of the right language, and the limits of rejection.
+
+    `rows` has the language, the entropies and the symbols of whole texts, `short` the language, its
+    entropy and the symbols of cut ones.
+    """
     models.limits, models.strays = np.full(len(models.languages), np.inf), np.zeros(len(models.languages))
     if not rows:
         return
@@ -272,7 +285,9 @@ def _calibrate(models: Models, rows: list[tuple[int, list[float], int]]) -> None
         if mine.any():
             middle = np.median(entropy[mine, i])
             models.limits[i] = SLACK * middle
-            models.strays[i] = SPREAD * np.quantile(np.abs(entropy[mine, i] - middle) * root[mine], QUANTILE)
+            cut = np.array([(e, np.sqrt(n)) for j, e, n in short if j == i]).reshape(-1, 2)
+            away = np.concatenate([np.abs(entropy[mine, i] - middle) * root[mine], np.abs(cut[:, 0] - middle) * cut[:, 1]])
+            models.strays[i] = SPREAD * DEVIATION * np.median(away)
 
 
 def _scored(docs: DataFrame, shared: Broadcast, columns: str) -> DataFrame:
