@@ -458,6 +458,25 @@ def test_topk_against_all_pairs(spark):
     assert 550 not in got and topk.top_neighbours(vectors.limit(0)).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    """Components of any size enter as they are; what does not fit 64 bits is an error."""
+    rng = np.random.default_rng(9)
+    vectors = [(rng.normal(0, 1, 64) * 10.0 ** rng.integers(0, 6, 64)).tolist() for _ in range(150)]
+    vectors += [[2.0**25 * (i + 1)] + [0.0] * 63 for i in range(3)] + [[1.0 / 256] + [0.0] * 63, [-1.0 / 256, 2.0**20] + [0.0] * 62]
+    ids = [*range(150), 201, 202, 203, 200, 250]
+    whole = [[math.floor(256 * x) for x in v] for v in vectors]
+    everything = list(zip(ids, whole))
+    schema = "vec_id long, embedding array<double>"
+    got = topk.top_neighbours(spark.createDataFrame(list(zip(ids, vectors)), schema).repartition(2)).collect()
+    for q in (0, 50, 100, 200, 250):
+        query = dict(everything)[q]
+        best = sorted((-sum(a * b for a, b in zip(query, v)), i) for i, v in everything if i != q)[:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(r, i, -x) for r, (x, i) in enumerate(best, 1)]
+    for bad in ([1e300, 0.0], [2.0**40, 2.0**40]):
+        with pytest.raises(Exception, match="does not fit 64 bits"):
+            topk.top_neighbours(spark.createDataFrame([(0, bad), (1, bad)], schema)).collect()
+
+
 # 10 decontamination
 
 

@@ -26,8 +26,8 @@ from timberline.llm.common import binaries, column, new_path, partitions, prepar
 #: Vectors in a block of the index, and queries in a block.
 BLOCK = 1 << 14
 QUERIES = 256
-#: Quantised components beyond this size are set to it; sums then stay in 64 bits up to 2**20 attributes.
-LIMIT = 1 << 21
+#: Quantised components and scores lie from -LIMIT to LIMIT - 1; anything beyond is an error, never another value.
+LIMIT = 1 << 63
 INDEX = "dim int, n int, bits int, ids binary, lows binary, slices binary"
 HITS = "query_id long, vec_id long, score long"
 
@@ -39,10 +39,19 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
 
 
+def whole(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) in 64 bits."""
+    with np.errstate(over="ignore"):
+        out = np.floor(scale * x)
+    if len(out) and not (out.min() >= -LIMIT and out.max() < LIMIT):
+        raise OverflowError(f"op9_topk: {scale} times a component of a vector does not fit 64 bits")
+    return out.astype(np.int64)
+
+
 def quantised(rows: pa.RecordBatch, scale: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Ids, and floor(scale * x) of each vector."""
     v = column(rows, "v")
-    flat = np.clip(np.floor(scale * v.flatten().to_numpy()), -LIMIT, LIMIT).astype(np.int64)
+    flat = whole(v.flatten().to_numpy(), scale)
     sizes = np.diff(v.offsets.to_numpy())
     return column(rows, "vec_id").to_numpy(), np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
@@ -57,10 +66,10 @@ def build_block(ids: np.ndarray, values: np.ndarray) -> dict:
     order = np.argsort(ids, kind="stable")
     ids, values = ids[order], values[order]
     lows = values.min(axis=0) if values.shape[1] else np.zeros(0, np.int64)
-    up = np.zeros((values.shape[1], -(-len(ids) // 64) * 64), np.int64)
-    up[:, : len(ids)] = (values - lows).T
+    up = np.zeros((values.shape[1], -(-len(ids) // 64) * 64), np.uint64)
+    up[:, : len(ids)] = (values.view(np.uint64) - lows.view(np.uint64)).T  # right without a sign, however far apart
     bits = int(up.max(initial=0)).bit_length()
-    slices = np.stack([pack_bits((up >> b & 1).astype(np.uint8)) for b in range(bits)], axis=1) if bits else np.zeros(0, np.uint64)
+    slices = np.stack([pack_bits((up >> np.uint64(b) & np.uint64(1)).astype(np.uint8)) for b in range(bits)], axis=1) if bits else np.zeros(0, np.uint64)
     return {
         "dim": values.shape[1], "n": len(ids), "bits": bits,
         "ids": ids.astype("<i8").tobytes(), "lows": lows.astype("<i8").tobytes(), "slices": slices.tobytes(),
@@ -80,17 +89,13 @@ class Block:
 
     def scores(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """The slices of sum(|q| * (x - low or its complement)), least significant first, and what to add to it."""
-        weight = np.abs(query)
+        weight = np.abs(query).view(np.uint64)
         negative = (query < 0).astype(np.int64)
-        columns: dict[int, list[np.ndarray]] = {}
-        for j in range(int(weight.max(initial=0)).bit_length()):
-            dims = np.flatnonzero(weight >> j & 1)
-            if len(dims):
-                for b in range(self.bits):
-                    columns.setdefault(j + b, []).append(self.both[negative[dims], dims, b])
+        with_bit = [np.flatnonzero(weight >> np.uint64(j) & np.uint64(1)) for j in range(int(weight.max(initial=0)).bit_length())]
         out, carried, place = [], None, 0
-        while columns or carried is not None:
-            parts = columns.pop(place, []) + ([carried] if carried is not None else [])
+        while place < min(1, self.bits) * (len(with_bit) + self.bits - 1) or carried is not None:
+            parts = [self.both[negative[dims], dims, place - j] for j, dims in enumerate(with_bit) if 0 <= place - j < self.bits and len(dims)]
+            parts += [carried] if carried is not None else []
             stack = np.concatenate(parts) if parts else np.zeros((0, len(self.all)), np.uint64)
             carries = []
             while len(stack) > 1:  # full adders take three bitmaps of one weight to one, and one of the next weight
@@ -127,9 +132,14 @@ class Block:
         chosen = np.flatnonzero(np.unpackbits(sure.view(np.uint8), bitorder="little"))
         edge = np.flatnonzero(np.unpackbits(tied.view(np.uint8), bitorder="little"))[: max(0, k - len(chosen))]
         rows = np.concatenate([chosen, edge])
-        score = np.full(len(rows), offset, np.int64)
+        narrow = len(sums) < 63 and abs(offset) < LIMIT // 2
+        score = np.full(len(rows), offset, np.int64 if narrow else object)
         for place, bitmap in enumerate(sums):
-            score += (bitmap[rows // 64] >> (rows % 64).astype(np.uint64) & np.uint64(1)).astype(np.int64) << place
+            score += (bitmap[rows // 64] >> (rows % 64).astype(np.uint64) & np.uint64(1)).astype(score.dtype) << place
+        if not narrow:  # Python integers
+            if any(not -LIMIT <= x < LIMIT for x in score):
+                raise OverflowError("op9_topk: an inner product does not fit 64 bits")
+            score = score.astype(np.int64)
         return self.ids[rows], score
 
 
@@ -181,7 +191,7 @@ def search(queries: DataFrame, index: DataFrame, k: int, scale: int = 256, per_b
                 block = Block(row)
                 found = []
                 for q in row["queries"]:
-                    vector = np.clip(np.floor(scale * np.array(q["v"], np.float64)), -LIMIT, LIMIT).astype(np.int64)
+                    vector = whole(np.array(q["v"], np.float64), scale)
                     ids, score = block.top(vector, k, q["vec_id"])
                     found.append((np.full(len(ids), q["vec_id"]), ids, score))
                 parts = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found)]
@@ -197,7 +207,8 @@ def top_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, scale: int =
 
     NULL ids, NULL vectors and vectors with NULL or non-finite components take no part.  Rows of
     one id are candidates each, and none of them for a query of that id.  An empty table gives an
-    empty result; fewer than k candidates are all returned.
+    empty result; fewer than k candidates are all returned.  Components and scores are exact in 64
+    bits; where one does not fit, the job fails with an OverflowError.
     """
     spark = prepare(vectors.sparkSession)
     path = build_index(vectors, path or new_path(spark, "slices"), scale)
