@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 import zlib
 from functools import cache
 
@@ -437,6 +438,37 @@ def test_chat_odd_rows(spark):
     assert chat.format_chats(given.limit(0)).count() == 0
 
 
+def test_chat_chunks_are_bounded_and_change_nothing(spark):
+    """Long conversations whose turns are NULL or equal, and a NULL conversation, are cut into chunks of bounded size."""
+    rng = random.Random(6)
+    role = lambda: rng.choice(["user", "assistant", "system", None])
+    rows = [(c, t, role(), f"{i % 700}") for c, t in ((None, 1), (1, None), (2, 7), (3, None)) for i in range(1500)]
+    rows += [(4, i, role(), f"{i}") for i in range(1500)] + [(5, 10**12 * i, "user", "far") for i in range(-3, 4)]
+    rng.shuffle(rows)
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+
+    def read(chunk: int) -> tuple[dict, dict, int]:
+        by: dict = {}
+        for r in chat.format_chats(given, chunk).collect():
+            by.setdefault(r["conv_id"], []).append(r)
+        most = max(r["place"] for x in by.values() for r in x) + 1
+        turns = {c: sorted({(r["chunk"], r["place"]) for r in x}) for c, x in by.items()}
+        return {c: {r["cost"] for r in x} for c, x in by.items()}, turns, most
+
+    costs, turns, most = read(100)
+    assert most <= 100 and {c: len(x) for c, x in turns.items()} == {None: 1500, 1: 1500, 2: 1500, 3: 1500, 4: 1500, 5: 7}
+    assert turns[5] == [(0, i) for i in range(7)]
+    assert costs == read(4096)[0]
+
+
+def test_chat_order_across_chunks(spark):
+    rows = [(1, None if i % 3 == 0 else i % 2, "user", f"{i:03}") for i in range(400)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3), 64).collect()
+    text = "".join(r["rendered"] for r in sorted(got, key=lambda r: (r["chunk"], r["place"], r["piece"])))
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[3]))
+    assert re.findall(r"\d{3}", text) == [r[3] for r in order]
+
+
 # 9 top-k
 
 

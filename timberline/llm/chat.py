@@ -6,7 +6,9 @@ turns can be put in.  Dynamic programming over the automaton of legal turns find
 repair.  A turn is then a 4 x 4 matrix of costs between the states start, system, user, assistant,
 and turns in a row are the (min, +) product of their matrices.  So a conversation of any length is
 cut into chunks: chunks give their matrices, one row each; the cheapest states at the cuts follow
-from those; and each chunk then finds its own turns between its two states.
+from those; and each chunk then finds its own turns between its two states.  Chunks are cut by the
+rank of a row in its conversation, whatever its turn: all rows are sorted over ranges, in which equal
+rows are told apart, and ranks are the rows of a conversation in the ranges before and the place here.
 
 Order of turns: turn (NULL last), role, text.  A NULL conv_id is a conversation of its own.  Roles
 count without case and outer blanks; a role that is NULL or not among the three can be given
@@ -20,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.llm.common import prepare, stored
+from timberline.llm.common import partitions, prepare, stored
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -102,19 +104,35 @@ def repair(kinds: list[int], start: int, end: int) -> list[tuple[list[int], str,
     return out[::-1]
 
 
-def turns_of(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def turns_of(conversations: DataFrame) -> DataFrame:
     kind = F.lower(F.trim(F.coalesce(F.col("role").cast("string"), F.lit(""))))
     number = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for i, r in enumerate(ROLES) for x in (r, i + 1))), kind), F.lit(0))
     return conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
-        F.floor(F.coalesce(F.col("turn").cast("long"), F.lit((1 << 62))) / chunk).cast("long").alias("chunk"),
         F.col("role").cast("string").alias("role"),
         number.cast("int").alias("kind"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
 
 
+def in_chunks(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The rows with their chunk, and with `row`, a number in the order of each conversation."""
+    order = ["conv_id", F.col("turn").asc_nulls_last(), "role", "text", "tie"]
+    given = stored(turns.withColumn("tie", F.monotonically_increasing_id()), "given")
+    ranged = given.repartitionByRange(partitions(turns.sparkSession), *order).sortWithinPartitions(*order)
+    # in this number, which is stored, the range stands above the place inside it
+    rows = stored(ranged.drop("tie").withColumn("row", F.monotonically_increasing_id()), "turns")
+    rows = rows.withColumn("range", F.shiftright("row", 33))
+    cells = rows.groupBy("conv_id", "range").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    cells = cells.select(F.col("conv_id").alias("conv"), F.col("range").alias("part"), "first", "before")
+    same = F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("range") == F.col("part"))
+    rank = F.col("before") + F.col("row") - F.col("first")
+    return rows.join(cells, same).select(*turns.columns, "row", F.floor(rank / chunk).cast("long").alias("chunk"))
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[dict]]:
     """Rows of one conversation and chunk; they come one after the other."""
     held: list[dict] = []
@@ -221,11 +239,11 @@ def format_chats(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     were merged.  An empty table gives an empty result.
     """
     prepare(conversations.sparkSession)
-    rows = stored(turns_of(conversations, chunk), "turns")
-    by, order = ["conv_id", "chunk"], [F.col("turn").asc_nulls_last(), "role", "text"]
-    dealt = rows.repartition(*by).sortWithinPartitions(*by, *order)
+    rows = stored(in_chunks(turns_of(conversations), chunk), "chunks")
+    by = ["conv_id", "chunk"]
+    dealt = rows.select(*by, "row", "kind").repartition(*by).sortWithinPartitions(*by, "row")
     matrices = dealt.select(*by, "kind").mapInArrow(_matrices, "conv_id long, chunk long, cost array<long>")
     plan = matrices.groupBy("conv_id").applyInArrow(_plan, PLAN)
     same = rows["conv_id"].eqNullSafe(plan["conv_id"]) & (rows["chunk"] == plan["chunk"])
     joined = rows.join(plan, same).select(*(rows[c] for c in rows.columns), "entry", "exit", "total", "last")
-    return joined.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(_render, ROWS)
+    return joined.repartition(*by).sortWithinPartitions(*by, "row").mapInArrow(_render, ROWS)
