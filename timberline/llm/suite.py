@@ -254,3 +254,6 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from timberline.llm.chat import format_chats
 
     return format_chats(table(spark, folder, "conversations"))
+
+
+from timberline.llm import suite_codes  # noqa: E402, F401  registers the remaining queries
