@@ -123,8 +123,15 @@ def _fs_path(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
+def _batch_store(spark: SparkSession, path: str) -> None:
+    fs, log = _fs_path(spark, f"{path}/_spark_metadata")
+    if fs.exists(log):
+        raise ValueError(f"{path} is written by Spark's file stream, whose log names its files; use sources.store.EventStore")
+
+
 def apply_retention(spark: SparkSession, path: str, plan: DataFrame) -> list[str]:
-    """Drop the folders of partitions planned for deletion; returns them."""
+    """Drop the folders of partitions planned for deletion; returns them.  For stores that one batch job writes."""
+    _batch_store(spark, path)
     gone = []
     for row in plan.filter(F.col("action") == "delete").select(*PARTITIONS).collect():  # one row per day
         folder = f"{path}/index_family={row.index_family}/event_date={row.event_date}"
@@ -141,7 +148,10 @@ def compact(spark: SparkSession, path: str, family: str, day: dt.date, file_byte
     The new files are written next to the store and swapped in by rename; the old
     folder is only removed after that.  A job that dies between the two renames leaves
     the old folder as ``_aside-*``, to be renamed back.  Returns the number of files written.
+
+    For stores that one batch job writes.  ``sources.store.EventStore`` can be written, merged and read at once.
     """
+    _batch_store(spark, path)
     folder = f"{path}/index_family={family}/event_date={day}"
     fs, old = _fs_path(spark, folder)
     size = fs.getContentSummary(old).getLength()

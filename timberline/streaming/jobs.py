@@ -16,7 +16,7 @@ from timberline.operators import syslog
 from timberline.operators.enrich import dimension_join
 from timberline.operators.multiline import assemble
 from timberline.operators.panels import histogram
-from timberline.sources.storage import PARTITIONS
+from timberline.sources.store import EventStore
 
 
 def queue(spark: SparkSession, servers: str, topic: str, per_batch: int = 1_000_000) -> DataFrame:
@@ -39,16 +39,17 @@ def _trigger(interval: str | None) -> dict:
 
 
 def land(events: DataFrame, path: str, checkpoint: str, by: list[str], interval: str | None = None) -> StreamingQuery:
-    """Append a stream to a table partitioned ``by`` columns (raw: type; parsed: family and day).
-
-    Late events go to the partition of their own day; nothing is dropped.
-    """
+    """Append a stream to a plain table partitioned ``by`` columns, such as raw events by type."""
     writer = events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     return writer.partitionBy(*by).outputMode("append").trigger(**_trigger(interval)).start()
 
 
 def land_indexed(events: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    return land(events, path, checkpoint, PARTITIONS, interval)
+    """Append a stream of routed events to the event store at ``path``.
+
+    Late events go to their own day; nothing is dropped.  Maintenance of the store can run meanwhile.
+    """
+    return EventStore(events.sparkSession, path).stream(events, checkpoint, interval)
 
 
 def live_histogram(

@@ -8,11 +8,13 @@ from timberline.fixtures import lines as L
 from timberline.functions.search import by_query, pick
 from timberline.functions.tags import tags_by_type
 from timberline.operators import syslog
-from timberline.session import table
+from timberline.session import latest, table
 from timberline.sources import storage
+from timberline.sources.store import EventStore
 from timberline.streaming import jobs
 from timberline.suite import query
 from timberline.suite.parsing import second
+from timberline.suite.storing import _FAMILY_SQL, typed_events
 from timberline.suite.searching import _SERIES, SECOND, log_events, named_queries
 
 
@@ -61,7 +63,7 @@ def stream_ingest(spark, folder):
     events = syslog.parse_syslog(stream.withColumn("tags", tags_by_type(F.col("type"), F.col("tags"))))
     routed = storage.route(events).select("event_ts", "source_host", "syslog_program", "msg", "tags", *storage.PARTITIONS)
     _run(jobs.land_indexed(routed, f"{path}/out", f"{path}/checkpoint"))
-    out = spark.read.parquet(f"{path}/out")
+    out = EventStore(spark, f"{path}/out").scan()
     return out.groupBy("index_family", F.col("event_date").cast("string").alias("event_day"), "syslog_program").agg(F.count("*").alias("n"))
 
 
@@ -116,7 +118,7 @@ def stream_late_events(spark, folder):
     )
     stream, path = _files(spark, folder, events, "late")
     _run(jobs.land_indexed(storage.route(stream).drop("index_name"), f"{path}/out", f"{path}/checkpoint"))
-    out = spark.read.parquet(f"{path}/out")
+    out = EventStore(spark, f"{path}/out").scan()
     late = F.count_if(F.to_date("received_at") > F.col("event_date")).alias("late")
     return out.groupBy(F.col("event_date").cast("string").alias("event_day")).agg(F.count("*").alias("n"), late)
 
@@ -129,3 +131,25 @@ def stream_alerts(spark, folder):
     stream, path = _files(spark, folder, L.canary_lines(spark, folder), "alerts")
     _run(jobs.alert_stream(stream, f"{path}/out", f"{path}/checkpoint"))
     return spark.read.parquet(f"{path}/out").groupBy("alert_host", "alert_service").agg(F.count("*").alias("n"))
+
+
+@query(
+    "stream_maintained_store",
+    f"""SELECT {_FAMILY_SQL} AS index_family, strftime(ts, '%Y-%m-%d') AS event_day, count(*) AS n, cast(sum(event_id) as bigint) AS ids,
+    (SELECT max(cast(ts as date)) FROM events) - cast(ts as date) > 4 AS closed
+    FROM events WHERE (SELECT max(cast(ts as date)) FROM events) - cast(ts as date) <= 8 GROUP BY ALL""",
+)
+def stream_maintained_store(spark, folder):
+    """A store that is streamed into, maintained, streamed into by the same query again, and maintained again."""
+    events = storage.route(typed_events(spark, folder)).drop("index_name")
+    path = storage.shared_folder(spark, "maintained")
+    store, today = EventStore(spark, f"{path}/out"), latest(events, "event_ts").date()
+    for part in range(2):
+        events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+        _run(jobs.land_indexed(stream, f"{path}/out", f"{path}/checkpoint"))
+        store.maintain(today)
+        store.fold()
+    days = store.days().select("index_family", "event_date", "closed")
+    rows = store.scan(closed=True).groupBy("index_family", "event_date").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    return rows.join(days, ["index_family", "event_date"]).select("index_family", F.col("event_date").cast("string").alias("event_day"), "n", "ids", "closed")
