@@ -32,26 +32,32 @@ def events_of(lines: DataFrame, channel: str) -> DataFrame:
         (F.col("received_at") if "received_at" in have else F.current_timestamp()).alias("received_at"),
         (F.col("ingest_seq") if "ingest_seq" in have else F.lit(None).cast("bigint")).alias("ingest_seq"),
         no_tags().alias("tags"),
-        *(["source_file"] if "source_file" in have else []),
+        *(c for c in ("source_file", "block_start") if c in have),
     )
 
 
+def number_lines(lines: DataFrame, seq: str = "ingest_seq") -> DataFrame:
+    """Give the lines of a channel, in the tasks that read them, their order in their file.
+
+    It is where a line's split starts, plus the lines that the task has read before, which are
+    never more than the bytes of a split.  A micro-batch of a stream is numbered when it is processed, before
+    its rows are filtered or moved.
+    """
+    read_before = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return lines.withColumn(seq, F.col("block_start") + read_before).drop("block_start")
+
+
 def read_channel(spark: SparkSession, path: str, channel: str, stream: bool = False, **options: str) -> DataFrame:
-    """A directory of text files as one typed channel, with the file of each line.
+    """A directory of text files as one typed channel, with the file of each line and its order there.
 
-    ``ingest_seq`` orders the lines of a file: where its split starts, plus the lines that the
-    task has read before, which are never more than the bytes of a split.  Streams number no
-    lines, so there it is NULL.
+    A stream cannot number lines; it has ``block_start`` instead, from which ``number_lines`` does so in
+    each micro-batch.
     """
     reader = spark.readStream if stream else spark.read
     lines = reader.options(**options).text(path)
-    file = F.col("_metadata.file_path").alias("source_file")
-    place = F.lit(None).cast("bigint")
-    if not stream:
-        read_before = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-        place = F.col("_metadata.file_block_start") + read_before
-    lines = lines.select(F.col("value").alias("message"), file, place.alias("ingest_seq"))
-    return events_of(lines, channel)
+    file, block = F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block_start")
+    lines = events_of(lines.select(F.col("value").alias("message"), file, block), channel)
+    return lines if stream else number_lines(lines)
 
 
 def read_channels(spark: SparkSession, paths: Mapping[str, str], stream: bool = False) -> DataFrame:

@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from timberline.functions.extract import matches
 from timberline.operators import syslog
-from timberline.operators.enrich import dimension_join
-from timberline.operators.multiline import assemble
 from timberline.operators.panels import histogram
 from timberline.sources.store import EventStore
+from timberline.streaming.assembly import Assembly
 
 
 def queue(spark: SparkSession, servers: str, topic: str, per_batch: int = 1_000_000) -> DataFrame:
@@ -79,40 +77,28 @@ def current_histogram(spark: SparkSession, path: str) -> DataFrame:
 
 
 def assemble_stream(
-    lines: DataFrame, path: str, checkpoint: str, source: str, seq: str, continuation: str, interval: str | None = None
+    lines: DataFrame,
+    path: str,
+    checkpoint: str,
+    source: str,
+    seq: str,
+    continuation: str,
+    interval: str | None = None,
+    time: str | None = None,
+    wait: str = "10 minutes",
 ) -> StreamingQuery:
-    """Multi-line assembly on a stream of lines.
+    """Multi-line assembly on a stream of lines; see ``Assembly`` for when events end.
 
-    The last event of each source may go on in the next micro-batch, so its lines
-    wait in a carry table and lead the next batch.  Needs lines to arrive in
-    ``seq`` order per source.  ``finish_assembly`` closes the waiting events.
+    Lines of a channel stream are numbered as they are read.  ``finish_assembly`` closes the open events.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        raw = batch.withColumn(source, F.coalesce(source, F.lit("")))
-        if batch_id > 0:
-            raw = raw.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/open/batch={batch_id - 1}"))
-        raw = raw.persist()
-        last = raw.filter(~matches(F.col("message"), continuation)).groupBy(source).agg(F.max(seq).alias("_last"))
-        marked = dimension_join(raw, last, [source])
-        is_open = F.col("_last").isNull() | (F.col(seq) >= F.col("_last"))
-        closed, waiting = (marked.filter(c).select(*batch.columns) for c in (~is_open, is_open))
-        assemble(closed, source, seq, continuation).write.mode("overwrite").parquet(f"{path}/events/batch={batch_id}")
-        waiting.write.mode("overwrite").parquet(f"{path}/open/batch={batch_id}")
-        raw.unpersist()
-
-    writer = lines.writeStream.option("checkpointLocation", checkpoint)
-    return writer.foreachBatch(write).trigger(**_trigger(interval)).start()
+    return Assembly(path, source, seq, continuation, time, wait).start(lines, checkpoint, interval)
 
 
 def finish_assembly(
     spark: SparkSession, path: str, last_batch: int, source: str, seq: str, continuation: str
 ) -> DataFrame:
-    """The assembled events, the waiting ones of the last batch included."""
-    done = spark.read.parquet(f"{path}/events").drop("batch")
-    waiting = spark.read.parquet(f"{path}/open/batch={last_batch}")
-    return done.unionByName(assemble(waiting, source, seq, continuation))
+    """The assembled events, those that are still open after the last batch included."""
+    return Assembly(path, source, seq, continuation).finished(spark, last_batch)
 
 
 def alert_stream(events: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
