@@ -97,15 +97,19 @@ def parse(
     ok: str = "parsed",
     longs: Sequence[str] = (),
     tag: bool | None = None,
+    when: Column | None = None,
 ) -> DataFrame:
     """Add the fields of the first matching pattern, and a boolean ``ok``.
 
+    ``when`` is a cheap test of the lines that can match; the others do not go through the patterns.
+
     Where ``ok`` is the line's own ``parsed``, and not a test for one kind of line among
     others, a line that no pattern matches is tagged as a failure (``tag`` says otherwise).
     """
     patterns = [patterns] if isinstance(patterns, LinePattern) else list(patterns)
     layout = layout_of(patterns)
-    df = fields_of(df, rewrite(clean(F.col(source)), patterns, layout), layout, ok, longs=longs)
+    rewritten = rewrite(clean(F.col(source)), patterns, layout)
+    df = fields_of(df, rewritten if when is None else F.when(when, rewritten), layout, ok, longs=longs)
     if "tags" in df.columns and (tag if tag is not None else ok == "parsed"):
         tags = F.coalesce("tags", F.array().cast("array<string>"))
         df = df.withColumn("tags", F.when(F.col(ok), F.col("tags")).otherwise(F.array_union(tags, F.array(F.lit(FAILURE_TAG)))))

@@ -38,8 +38,8 @@ def parse_netscreen(df: DataFrame) -> DataFrame:
 
 def parse_iptables(df: DataFrame) -> DataFrame:
     """Action, protocol, addresses and ports of lines the firewall logged."""
-    df = parse(df, IPTABLES, longs=["src_port", "dst_port"], tag=False)  # most lines are of another kind
     is_iptables = F.coalesce(F.col("message").contains("IPTables"), F.lit(False))
+    df = parse(df, IPTABLES, longs=["src_port", "dst_port"], tag=False, when=is_iptables)  # most lines are of another kind
     tags = add_tags(F.col("tags"), "IPTABLES", when=is_iptables)
     return df.withColumn("tags", failed(tags, F.col("parsed") | ~is_iptables))
 

@@ -122,7 +122,7 @@ def parse_logins(df: DataFrame) -> DataFrame:
 
 def find_canary(df: DataFrame) -> DataFrame:
     """Mark the monitoring test line with its tag and service name."""
-    df = parse(df, CANARY, ok="canary")
+    df = parse(df, CANARY, ok="canary", when=F.col("message").contains("nagios log test"))
     return df.withColumns(
         {
             "tags": add_tags(F.col("tags"), CANARY_TAG, when=F.col("canary")),

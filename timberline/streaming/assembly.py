@@ -157,15 +157,22 @@ class Assembly:
         """The events that have ended so far."""
         return spark.read.parquet(f"{self.path}/events").drop("batch")
 
-    def finished(self, spark: SparkSession, last: int) -> DataFrame:
-        """All events, as if the stream ended with batch ``last``."""
-        done, state = self.ended(spark), self._state(spark, last)
-        settled = spark.read.parquet(self._folder("settled", last))
-        schema = settled.schema
+    def batch(self, spark: SparkSession, number: int) -> DataFrame:
+        """The events that ended in a batch."""
+        return spark.read.parquet(self._folder("events", number))
+
+    def opened(self, spark: SparkSession, last: int) -> DataFrame:
+        """The events that are open after batch ``last``, as if the stream ended there."""
+        state = self._state(spark, last)
+        schema = spark.read.parquet(self._folder("settled", last)).schema
         recent = self._recent(spark, last, T.StructType([f for f in schema.fields if f.name != "_event"]))
         rest = mark_events(recent, self.source, self.seq, self.continuation, open_events=state)
         since = state.agg(F.min("since")).first()[0]
         if since is not None:
             held = self._settled(spark, since, last, schema).join(state.select(self.source, "open_start"), self.source)
             rest = rest.unionByName(held.where("_event = open_start").select(*schema.names))
-        return done.unionByName(join_lines(rest, self.source, self.seq))
+        return join_lines(rest, self.source, self.seq)
+
+    def finished(self, spark: SparkSession, last: int) -> DataFrame:
+        """All events, as if the stream ended with batch ``last``."""
+        return self.ended(spark).unionByName(self.opened(spark, last))

@@ -13,6 +13,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from timberline.operators import syslog
 from timberline.operators.panels import histogram
+from timberline.plans import indexing
+from timberline.sources.channels import number_lines
 from timberline.sources.store import EventStore
 from timberline.streaming.assembly import Assembly
 
@@ -50,6 +52,45 @@ def land_indexed(events: DataFrame, path: str, checkpoint: str, interval: str |
     return EventStore(events.sparkSession, path).stream(events, checkpoint, interval)
 
 
+def _assemblies(path: str, source: str, time: str | None, wait: str) -> dict[str, Assembly]:
+    return {t: Assembly(f"{path}/lines/{t}", source, "ingest_seq", c, time, wait) for t, c in indexing.MULTILINE.items()}
+
+
+def index_stream(
+    raw: DataFrame,
+    path: str,
+    checkpoint: str,
+    source: str = "host",
+    interval: str | None = None,
+    time: str | None = None,
+    wait: str = "10 minutes",
+    **job: object,
+) -> StreamingQuery:
+    """The whole indexing job on a stream of raw channel events of all types, into the event store at ``path``.
+
+    Lines of the types that are assembled wait for their event (``time``, ``wait``: see ``Assembly``); all
+    others are parsed in the micro-batch that brings them.  ``job`` goes to ``index_events``.
+    ``finish_index`` adds the events that are open at the end.
+    """
+
+    def made(batch: DataFrame, number: int) -> DataFrame:
+        batch = (number_lines(batch) if "block_start" in batch.columns else batch).persist()
+        done = {}
+        for kind, assembly in _assemblies(path, source, time, wait).items():
+            assembly.write(batch.where(F.col("type") == kind), number)
+            done[kind] = assembly.batch(batch.sparkSession, number).drop("n_lines")
+        return indexing.index_events(batch, assembled=done, **job).drop("index_name")
+
+    return EventStore(raw.sparkSession, path).stream(raw, checkpoint, interval, made=made)
+
+
+def finish_index(spark: SparkSession, path: str, last_batch: int, source: str = "host", **job: object) -> None:
+    """Close what is open after the last batch of an indexing stream and add it to the store."""
+    opened = {k: a.opened(spark, last_batch).drop("n_lines") for k, a in _assemblies(path, source, None, "").items()}
+    events = indexing.index_events({}, assembled=opened, **job).drop("index_name")
+    EventStore(spark, path).write(events)
+
+
 def live_histogram(
     events: DataFrame,
     path: str,

@@ -9,6 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.fixtures import lines as L
@@ -724,3 +727,31 @@ def index_all_types(spark, folder):
     return events.groupBy("type", "index_name").agg(
         F.count("*").alias("n"), F.count_if(F.array_contains("tags", FAILURE_TAG)).alias("failures")
     )
+
+
+@query(
+    "index_mixed_devices",
+    """WITH e AS (SELECT event_id, event_type FROM events)
+    SELECT 'firewall' AS type, 'asa' AS device, count(*) AS n, 0 AS failures FROM e
+    UNION ALL SELECT 'firewall', 'netscreen', count(*), 0 FROM e
+    UNION ALL SELECT 'firewall', 'ios', count(*), 0 FROM e WHERE event_id % 3 < 2
+    UNION ALL SELECT 'firewall', 'other', count(*), count(*) FROM e WHERE event_id % 3 = 2
+    UNION ALL SELECT 'syslog', 'iptables', count(*), count(*) FROM e WHERE event_id % 3 < 2
+    UNION ALL SELECT 'syslog', 'canary', count(*), count(*) FROM e WHERE event_type = 'signup'
+    UNION ALL SELECT 'syslog', 'other', sum(n), sum(failures) FROM (
+      SELECT count(*) AS n, count(*) FILTER (event_id % 50 = 0) AS failures FROM e
+      UNION ALL SELECT count(*), count(*) FROM e WHERE event_id % 3 = 2 UNION ALL SELECT count(*), count(*) FROM e WHERE event_type <> 'signup')""",
+)
+def index_mixed_devices(spark, folder):
+    """Lines of several devices in one type go to their own parsers; packet-filter lines have no priority, so their header does not parse."""
+    from timberline.functions.extract import FAILURE_TAG
+
+    union = lambda kind, *builders: reduce(DataFrame.unionByName, [b(spark, folder).withColumn("type", F.lit(kind)) for b in builders])
+    raw = {
+        "firewall": union("firewall", L.asa_lines, L.netscreen_lines, L.ios_lines),
+        "syslog": union("syslog", L.syslog_lines, L.iptables_lines, L.canary_lines),
+    }
+    device = F.when(F.col("ciscotag").isNotNull(), "asa").when(F.col("session_id").isNotNull(), "netscreen").when(F.col("mnemonic").isNotNull(), "ios")
+    device = device.when(F.col("iptables_action").isNotNull(), "iptables").when(F.col("nagios_service").isNotNull(), "canary").otherwise("other")
+    events = index_events(raw).groupBy("type", device.alias("device"))
+    return events.agg(F.count("*").alias("n"), F.count_if(F.array_contains("tags", FAILURE_TAG)).alias("failures"))

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from timberline.fixtures import lines as L
 from timberline.functions.search import by_query, pick
-from timberline.functions.tags import tags_by_type
+from timberline.functions.tags import no_tags, tags_by_type
 from timberline.operators import syslog
 from timberline.session import latest, table
 from timberline.sources import storage
 from timberline.sources.store import EventStore
 from timberline.streaming import jobs
 from timberline.suite import query
-from timberline.suite.parsing import second
+from timberline.suite.parsing import _DOC_LINES, second
 from timberline.suite.storing import _FAMILY_SQL, typed_events
 from timberline.suite.searching import _SERIES, SECOND, log_events, named_queries
 
@@ -153,3 +153,24 @@ def stream_maintained_store(spark, folder):
     days = store.days().select("index_family", "event_date", "closed")
     rows = store.scan(closed=True).groupBy("index_family", "event_date").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
     return rows.join(days, ["index_family", "event_date"]).select("index_family", F.col("event_date").cast("string").alias("event_day"), "n", "ids", "closed")
+
+
+@query(
+    "stream_index_types",
+    f"""WITH {_DOC_LINES} SELECT 'VMware' AS type, 'logstash' AS index_family, count(*) AS n, md5(string_agg(CAST(start AS VARCHAR), ',' ORDER BY start, doc_id)) AS digest
+    FROM (SELECT DISTINCT doc_id, start FROM grouped)
+    UNION ALL SELECT 'syslog', 'redhat', count(*), md5(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) FROM events
+    UNION ALL SELECT 'redis', 'logstash', count(*), md5(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) FROM events""",
+)
+def stream_index_types(spark, folder):
+    """The indexing job on a stream: parsed, assembled and unknown lines into one store."""
+    names = ["type", "message", "host", "received_at", "ingest_seq", "tags"]
+    documents = L.document_lines(spark, folder).withColumn("received_at", F.lit("2024-01-10").cast("timestamp")).withColumn("tags", no_tags())
+    lines = L.syslog_lines(spark, folder).select(*names).unionByName(documents.select(*names))
+    lines = lines.unionByName(L.raw_events(spark, folder, F.lit("as it came"), "redis").select(*names))
+    stream, path = _files_in_order(spark, lines, "index")
+    job = _run(jobs.index_stream(stream, f"{path}/out", f"{path}/checkpoint", types=["syslog", "redis"]))
+    jobs.finish_index(spark, f"{path}/out", job.lastProgress["batchId"])
+    events = EventStore(spark, f"{path}/out").scan()
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("ingest_seq")), lambda x: x.cast("string")), ",")
+    return events.groupBy("type", "index_family").agg(F.count("*").alias("n"), F.md5(ids).alias("digest"))
