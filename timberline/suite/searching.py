@@ -388,14 +388,24 @@ def panel_events_table(spark, folder):
     return P.events_table(df, ["event_second", "source_host", "msg", "event_id"], "event_id", offset=100, trim={"msg": 12})
 
 
+#: Fields of a record: those of every line, those that the written records have, those that they leave out.
+_EVERY = ["type", "host", "received_at", "ingest_seq", "tags", "json_ok", "event_ts"]
+_RECORD = [
+    "msg", "EventType", "FileName", "source_host", "eventlog_severity", "eventlog_severity_code", "EventReceivedTime", "eventlog_channel",
+    "eventlog_program", "nxlog_input", "SourceModuleType", "eventlog_category", "EventID", "eventlog_record_number", "eventlog_pid", "UserID",
+    "SubjectUserName", "TargetUserName", "flat_message", "extra", "eventlog_id",
+]
+_LEFT_OUT = ["EventTime", "EventTimeWritten"]
+
+
 @query(
     "field_presence",
-    f"""SELECT unnest(['source_host', 'eventlog_id', 'errorCode', 'UserID', 'msg']) AS field,
-    unnest([g, g, e, g, g]) AS n FROM (SELECT count(*) FILTER (NOT ({L.CORRUPT})) AS g, count(*) FILTER (NOT ({L.CORRUPT}) AND event_type = 'error') AS e FROM events)""",
+    f"""WITH c AS (SELECT count(*) AS whole, count(*) FILTER (NOT ({L.CORRUPT})) AS good, count(*) FILTER (NOT ({L.CORRUPT}) AND event_type = 'error') AS errors FROM events)
+    SELECT unnest({_EVERY}) AS field, whole AS n FROM c UNION ALL SELECT unnest({_RECORD}), good FROM c
+    UNION ALL SELECT unnest({_LEFT_OUT}), 0 FROM c UNION ALL SELECT 'errorCode', errors FROM c""",
 )
 def field_presence(spark, folder):
-    df = _eventlog(spark, folder).select("source_host", "eventlog_id", "errorCode", "UserID", "msg")
-    return P.field_presence(df)
+    return P.field_presence(_eventlog(spark, folder))
 
 
 # --- dashboards ---------------------------------------------------------------
