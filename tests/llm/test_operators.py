@@ -208,6 +208,31 @@ def test_rollup_is_idempotent(spark):
         totals.apply("5", changes(("replace", "a", "en", "t1", 5, None, "x")))
 
 
+def test_rollup_compactions_that_race(spark, monkeypatch):
+    """A batch that comes in during a compaction, two compactions at once, and one on top of a void one."""
+    path = common.new_path(spark, "test")
+    totals, other = rollup.Rollup(spark, path), rollup.Rollup(spark, path)
+    insert = lambda n: spark.createDataFrame([("insert", "a", "en", "t1", n, None)], "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long")
+    state = lambda: [(r["n_docs"], r["n_tokens"]) for r in totals.totals().collect()]
+    totals.apply("1", insert(5))
+    totals.apply("2", insert(10))
+    commit = totals._commit
+
+    def late(*change):
+        monkeypatch.undo()
+        other.apply("3", insert(100))
+        other.compact()
+        commit(*change)
+
+    monkeypatch.setattr(totals, "_commit", late)
+    totals.compact()
+    assert state() == [(3, 115)]
+    other.apply("4", insert(1000))
+    other.compact()
+    totals.compact()
+    assert state() == [(4, 1115)] and not totals.apply("3", insert(1))
+
+
 # 4 toxicity
 
 

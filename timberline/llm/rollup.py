@@ -65,10 +65,24 @@ class Rollup:
         return out
 
     def _live(self) -> dict[str, str]:
-        """The batches whose folders make up the totals."""
+        """The batches whose folders make up the totals.
+
+        A compaction counts if all that it replaces counts and no other one has replaced any of it: of two
+        that ran at once one is void, whichever, since both hold the sum of what they replace.
+        """
         commits = self._commits()
-        gone = {x for _, replaced in commits.values() for x in replaced}
-        return {batch: folder for batch, (folder, _) in commits.items() if batch not in gone}
+        depth, before = dict.fromkeys(commits, 0), None
+        while depth != before:  # compactions come after all that they replace
+            before = depth
+            depth = {b: max((1 + before[x] for x in replaced if x in before), default=0) for b, (_, replaced) in commits.items()}
+        counts: set[str] = set()
+        gone: set[str] = set()
+        for batch in sorted(commits, key=lambda b: (depth[b], b)):
+            replaced = set(commits[batch][1])
+            if replaced <= counts and not replaced & gone:
+                counts.add(batch)
+                gone |= replaced
+        return {batch: commits[batch][0] for batch in counts - gone}
 
     def _commit(self, batch: str, rows: DataFrame, replaces: list[str]) -> None:
         folder = uuid.uuid4().hex
@@ -96,4 +110,5 @@ class Rollup:
         """Put the committed batches together; their ids stay known, so that replays are still skipped."""
         live = self._live()
         if len(live) > 1:
-            self._commit(f"compacted-{uuid.uuid4().hex}", self.totals(), sorted(live))
+            rows = summed(self._read(list(live.values())))  # of these folders alone, whatever came in meanwhile
+            self._commit(f"compacted-{uuid.uuid4().hex}", rows.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0)), sorted(live))
