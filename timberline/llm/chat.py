@@ -191,6 +191,11 @@ def _plan(group: pa.Table) -> pa.Table:
     )
 
 
+def escaped(text: str) -> str:
+    """A text that holds no mark of the template: `<|` becomes `<||`, which no mark begins with."""
+    return text.replace("<|", "<||")
+
+
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["conv_id", "chunk", "turn", "role", "kind", "text", "entry", "exit", "total", "last"]
     made: list[tuple] = []
@@ -212,9 +217,9 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name = ROLES[role - 1]
             if action == "merge":
                 action = "merge" if row["kind"] == role else "merge relabel"
-                pieces.append((name, action, "\n" + row["text"]))
+                pieces.append((name, action, "\n" + escaped(row["text"])))
             else:
-                pieces.append((name, action, (CLOSE if opened else "") + OPEN.format(name) + row["text"]))
+                pieces.append((name, action, (CLOSE if opened else "") + OPEN.format(name) + escaped(row["text"])))
                 opened = True
             if first["last"] and i == len(rows) - 1:
                 for state in GAP_PATH[first["exit"]][END]:
@@ -236,7 +241,7 @@ def format_chats(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     (keep, relabel, merge, merge relabel, insert), rendered, cost (of the whole conversation).
     The pieces of a conversation in order of chunk, place and piece, joined, are its text:
     `<|role|>`, a line end, the text and `<|end|>` for each turn, and a line end between texts that
-    were merged.  An empty table gives an empty result.
+    were merged.  `<|` in a text is written `<||`, so that no text can pass for a turn.  An empty table gives an empty result.
     """
     prepare(conversations.sparkSession)
     rows = stored(in_chunks(turns_of(conversations), chunk), "chunks")

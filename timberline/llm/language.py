@@ -12,14 +12,13 @@ is rejected: SLACK times the median, and for short texts, whose figure says less
 deviations, which shrink with the root of the length.  The deviation is taken from the median of
 what these rows, whole and cut to the lengths CUTS, stray from the median, so odd rows do not widen it.
 
-Learning uses a bounded sample: at most ROWS rows a language, chosen by a hash of the text, of
-texts of at most LONGEST characters.  Every text is predicted as a whole, whatever its length;
+Learning uses a bounded sample: at most ROWS different texts a language, chosen by a hash of
+the text, of at most LONGEST characters; copies of a text count once.  Every text is predicted as a whole, whatever its length;
 runs of over RUN letters are scored in parts of RUN letters.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ CUTS = (30, 60, 120, 250, 500, 1000)
 #: Standard deviations of a normal distribution in a median deviation.
 DEVIATION = 1.4826
 UNKNOWN = "und"
-LETTERS = re.compile(rf"[^\W\d_]{{1,{RUN}}}")
+LETTERS = regex.compile(rf"\p{{L}}{{1,{RUN}}}")
 #: Scores that a Python worker remembers, in words times languages.
 REMEMBERED = 1_200_000
 
@@ -208,15 +208,19 @@ def entropies(models: Models, values: list[str | None], key: object) -> tuple[np
 
 
 def labelled_sample(labelled: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> DataFrame:
-    """At most `rows` rows (text, lang) of each language, those with the lowest hashes."""
+    """At most `rows` different texts (text, lang) of each language, those with the lowest hashes.
+
+    Only hashes are shuffled to count the texts; whole texts only of those below the bound.
+    """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
     known = known.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = known.withColumn("h", F.xxhash64("text"))
+    counts = {r["lang"]: r["n"] for r in known.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return known
+        return known.drop("h")
     span = 1 << 20
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(span, 4 * rows * span // n + 1))))
-    some = known.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(span)) < share[F.col("lang")])
+    some = known.where(F.pmod("h", F.lit(span)) < share[F.col("lang")]).distinct()
     by = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(span)), "h", "text")
     return some.withColumn("r", F.row_number().over(by)).where(F.col("r") <= rows).select("text", "lang", "r")
 

@@ -59,17 +59,17 @@ def offset(source: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 6), 16, 10).cast("double") / (1 << 24)
 
 
-def with_copies(docs: DataFrame, size: Column, seed: str = SEED, copies: int = COPIES) -> DataFrame:
+def with_copies(docs: DataFrame, size: Column, seed: str = SEED, copies: int = COPIES, order: Column | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies of each row of `docs` (doc_id, source, text).
 
-    Order within a source: size, hash of doc_id, doc_id.  A source that is NULL is a source of its
+    Order within a source: size, hash of doc_id (or of `order`, a text), doc_id.  A source that is NULL is a source of its
     own, after all others; rows of NULL or equal ids are ordered among themselves in any way,
     which changes no sum.  Sources without words have the target 0 and no copies.
     """
     prepare(docs.sparkSession)
-    rows = docs.select("doc_id", "source", size.cast("long").alias("size"))
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.withColumn("digest", digest).withColumn("part", F.substring(F.col("digest"), 1, PART_DIGITS)).checkpoint()
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string") if order is None else order, F.lit("")))
+    rows = docs.select("doc_id", "source", size.cast("long").alias("size"), digest.alias("digest"))
+    rows = rows.withColumn("part", F.substring(F.col("digest"), 1, PART_DIGITS)).checkpoint()
     cells = rows.groupBy("source", "size", "part").agg(F.count("*").alias("n"))
     targets = source_targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size")))
     # ranks before each cell: cells of one size first, then the sizes of a source
@@ -109,14 +109,17 @@ def word_count(text: Column) -> Column:
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The rows of `docs`, all columns, each as often as it is taken.
 
-    Rows are told apart by a number given to them in a stored copy, so equal ids are no matter.
+    Rows are told apart by a number given to them in a stored copy, so equal ids are no matter.  What is
+    taken follows doc_id and text alone, however the rows lie in files and partitions.
     """
     from timberline.llm.common import stored
 
     prepare(docs.sparkSession)
     row = free_name(docs, "row")
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix")
-    taken = with_copies(rows.select(F.col(row).alias("doc_id"), "source", "text"), word_count(F.col("text")), seed)
+    order = F.concat_ws(":", F.col("id").cast("string"), F.sha2(F.col("text").cast("binary"), 256))
+    numbered = rows.select(F.col(row).alias("doc_id"), "source", "text", F.col("doc_id").alias("id"))
+    taken = with_copies(numbered, word_count(F.col("text")), seed, order=order)
     times = free_name(docs, "copies")
     taken = taken.where(F.col("copies") > 0).select(F.col("doc_id").alias(row), F.col("copies").alias(times))
     many = rows.join(taken, row)

@@ -29,7 +29,7 @@ QUERIES = 256
 #: Quantised components and scores lie from -LIMIT to LIMIT - 1; anything beyond is an error, never another value.
 LIMIT = 1 << 63
 INDEX = "dim int, n int, bits int, ids binary, lows binary, slices binary"
-HITS = "query_id long, vec_id long, score long"
+HITS = "query long, query_id long, copies long, vec_id long, score long, own boolean"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -115,12 +115,13 @@ class Block:
         offset = sum(int(q) * int(low) if q >= 0 else int(q) * (int(low) + full) for q, low in zip(query.tolist(), self.lows.tolist()))
         return out, offset
 
-    def top(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but `own`, ties to smaller ids."""
+    def top(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows, ties to smaller ids, and which may be the query's own row, of the id `own`.
+
+        A score of the query with itself that is beyond 64 bits is the largest number.
+        """
         sums, offset = self.scores(query)
         live = self.all.copy()
-        for i in range(*np.searchsorted(self.ids, [own, own + 1])):  # all rows of the query's own id
-            live[i // 64] &= ~(np.uint64(1) << np.uint64(i % 64))
         sure, tied = np.zeros_like(live), live
         for bitmap in reversed(sums):
             with_bit = tied & bitmap
@@ -136,11 +137,14 @@ class Block:
         score = np.full(len(rows), offset, np.int64 if narrow else object)
         for place, bitmap in enumerate(sums):
             score += (bitmap[rows // 64] >> (rows % 64).astype(np.uint64) & np.uint64(1)).astype(score.dtype) << place
+        itself = sum(x * x for x in query.tolist())
+        mine = (self.ids[rows] == own) & np.array([x == itself for x in score.tolist()], bool)
         if not narrow:  # Python integers
+            score[mine] = min(itself, LIMIT - 1)
             if any(not -LIMIT <= x < LIMIT for x in score):
                 raise OverflowError("op9_topk: an inner product does not fit 64 bits")
             score = score.astype(np.int64)
-        return self.ids[rows], score
+        return self.ids[rows], score, mine
 
 
 def build_index(vectors: DataFrame, path: str, scale: int = 256, block: int = BLOCK) -> str:
@@ -172,15 +176,18 @@ def build_index(vectors: DataFrame, path: str, scale: int = 256, block: int = BL
 def search(queries: DataFrame, index: DataFrame, k: int, scale: int = 256, per_block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k best vectors of the index for each query vector.
 
-    A query (vec_id, embedding) does not find rows of its own id.  Vectors of another length
-    than the query's are not candidates.
+    The queries (vec_id, embedding) are rows of the index, and each finds all rows but itself: it looks for
+    one row more than k, from which one of its own id and its own score goes, if there is one; rows
+    alike in both give the same answer.  Equal query rows are searched once and answered each.
+    Vectors of another length than the query's are not candidates.
     """
     spark = index.sparkSession
-    wanted = usable(queries).distinct()
+    wanted = usable(queries).groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
+    wanted = wanted.withColumn("query", F.monotonically_increasing_id()).checkpoint()
     n = max(1, -(-wanted.count() // per_block))
     spread = partitions(spark)
-    packs = wanted.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("pack"))
-    packs = packs.agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
+    packs = wanted.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("query"), F.lit(n)).alias("pack"))
+    packs = packs.agg(F.collect_list(F.struct("query", "vec_id", "copies", "v")).alias("queries"))
     packs = packs.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     blocks = index.withColumn("deal", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int"))
     blocks = blocks.withColumn("pack", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
@@ -192,21 +199,29 @@ def search(queries: DataFrame, index: DataFrame, k: int, scale: int = 256, per_b
                 found = []
                 for q in row["queries"]:
                     vector = whole(np.array(q["v"], np.float64), scale)
-                    ids, score = block.top(vector, k, q["vec_id"])
-                    found.append((np.full(len(ids), q["vec_id"]), ids, score))
-                parts = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found)]
-                yield pa.record_batch(parts, ["query_id", "vec_id", "score"])
+                    ids, score, own = block.top(vector, k + 1, q["vec_id"])
+                    same = [np.full(len(ids), q[c], np.int64) for c in ("query", "vec_id", "copies")]
+                    found.append((*same, ids, score, own))
+                parts = [pa.array(np.concatenate(x)) for x in zip(*found)]
+                yield pa.record_batch(parts, ["query", "query_id", "copies", "vec_id", "score", "own"])
 
     hits = blocks.join(packs, ["dim", "pack", "deal"]).mapInArrow(look, HITS)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id", F.col("own").desc())
+    near = hits.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+    itself = F.min(F.when(F.col("own"), F.col("place"))).over(Window.partitionBy("query"))
+    near = near.withColumn("itself", F.coalesce(itself, F.lit(k + 2))).where(F.col("place") != F.col("itself"))
+    near = near.withColumn("rank", F.col("place") - (F.col("place") > F.col("itself")).cast("int")).where(F.col("rank") <= k)
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    beyond = F.raise_error(F.lit("op9_topk: an inner product does not fit 64 bits"))
+    score = F.when(F.col("own") & (F.col("score") == LIMIT - 1), beyond.cast("long")).otherwise(F.col("score"))
+    return near.select("query_id", "rank", "vec_id", score.alias("score"), again.alias("copy")).drop("copy")
 
 
 def top_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, path: str | None = None) -> DataFrame:
     """The k best other vectors for each vector whose id is divisible by `every`.
 
     NULL ids, NULL vectors and vectors with NULL or non-finite components take no part.  Rows of
-    one id are candidates each, and none of them for a query of that id.  An empty table gives an
+    one id are queries and candidates each, also for one another.  An empty table gives an
     empty result; fewer than k candidates are all returned.  Components and scores are exact in 64
     bits; where one does not fit, the job fails with an OverflowError.
     """

@@ -187,7 +187,9 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> Model:
     """Learn from `labels` (doc_id, toxic 0 or 1) and the texts of those documents.
 
-    NULL labels and texts are left out.  Of several labels of a document each counts.
+    NULL labels and texts, and labelled texts of over `longest` characters, are left out.  Of several labels
+    of a document each counts.  Seven tenths of the sample give the lexicon and the trees, the rest the calibration;
+    where one of the two lacks a label, all rows serve for both.
     """
     spark = prepare(docs.sparkSession)
     shared_folder(spark)  # the trees are checkpointed there
@@ -200,12 +202,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, longest: int = LON
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Model([], constant=float(max(sizes, default=0)))
-    lexicon = learn_lexicon(sample)
-    table = stored(with_features(sample, lexicon, "features").select("features", "toxic", "h"), "toxic-features")
-    table = table.select(array_to_vector("features").alias("features"), F.col("toxic").cast("double").alias("label"), F.pmod("h", F.lit(10)).alias("part"))
-    train, rest = table.where("part < 7"), table.where("part >= 7")
-    if train.agg(F.countDistinct("label")).first()[0] < 2 or rest.agg(F.countDistinct("label")).first()[0] < 2:
-        train = rest = table
+    sample = sample.withColumn("part", F.pmod("h", F.lit(10)))
+    train, rest = sample.where("part < 7"), sample.where("part >= 7")
+    if train.agg(F.countDistinct("toxic")).first()[0] < 2 or rest.agg(F.countDistinct("toxic")).first()[0] < 2:
+        train = rest = sample
+    lexicon = learn_lexicon(train)
+    names = {"train": train, "rest": rest}
+    both = [with_features(rows, lexicon, "features").select("features", "toxic", F.lit(n).alias("of")) for n, rows in names.items()]
+    table = stored(both[0].unionByName(both[1]), "toxic-features")
+    table = table.select(array_to_vector("features").alias("features"), F.col("toxic").cast("double").alias("label"), "of")
+    train, rest = table.where("of = 'train'"), table.where("of = 'rest'")
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.2, seed=7, minInstancesPerNode=2).fit(train.coalesce(8))
     margins = trees.transform(rest).select(vector_to_array("probability")[1].alias("features"), "label")
     return Model(lexicon, trees, IsotonicRegression().fit(margins))
