@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline.functions.search import NamedQuery, by_query
@@ -76,12 +76,8 @@ def value_histogram(
     return df.groupBy(series, bucket(F.col(ts), interval).alias("bucket")).agg(*shown)
 
 
-def zero_fill(counts: DataFrame, start: dt.datetime, end: dt.datetime, interval: str, names: Sequence[str]) -> DataFrame:
-    """Every bucket of the visible range for every series, absent ones as 0.
-
-    The grid is added to the counts and summed, which needs no join.
-    """
-    spark = counts.sparkSession
+def zero_grid(spark: SparkSession, start: dt.datetime, end: dt.datetime, interval: str, names: Sequence[str]) -> DataFrame:
+    """series, bucket and the count 0 for every bucket of a range and every series."""
     first, last = (bucket(F.lit(t).cast("timestamp"), interval) for t in (start, end))
     shortest = {"1M": 28 * 86400, "1y": 365 * 86400}.get(interval, INTERVALS[interval])
     steps = int(max((end - start).total_seconds(), 0) // shortest) + 2
@@ -91,12 +87,20 @@ def zero_fill(counts: DataFrame, start: dt.datetime, end: dt.datetime, interval:
         bucket_at = first + F.make_interval(years=F.col("id").cast("int"))
     else:
         bucket_at = F.timestamp_seconds(F.unix_seconds(first) + F.col("id") * INTERVALS[interval])
-    grid = (
+    return (
         spark.range(steps + 1)  # rows, not one array, so that a long range is spread over tasks
         .select(F.explode(F.array(*[F.lit(n) for n in names])).alias("series"), bucket_at.alias("bucket"))
         .filter(F.col("bucket") <= last)
         .withColumn("n", F.lit(0).cast("bigint"))
     )
+
+
+def zero_fill(counts: DataFrame, start: dt.datetime, end: dt.datetime, interval: str, names: Sequence[str]) -> DataFrame:
+    """Every bucket of the visible range for every series, absent ones as 0.
+
+    The grid is added to the counts and summed, which needs no join.
+    """
+    grid = zero_grid(counts.sparkSession, start, end, interval, names)
     both = counts.select("series", "bucket", "n").unionByName(grid)
     return both.groupBy("series", "bucket").agg(F.sum("n").alias("n"))
 
@@ -266,6 +270,50 @@ def field_presence(df: DataFrame) -> DataFrame:
     return counted.select(F.inline(pairs))
 
 
+def _cell(panel: str, series: str | None, key: Column) -> Column:
+    return F.struct(
+        F.lit(panel).alias("panel"), F.lit(series).cast("string").alias("series"), key.cast("string").alias("key")
+    )
+
+
+def _cells(by_alias: Mapping[str, Column], terms: Mapping[str, tuple[str, int, Sequence[str]]]) -> list[Column]:
+    """The cells of hits and top-N panels in which an event counts; NULL for those where it does not."""
+    cells = [F.when(condition, _cell("hits", alias, F.lit(None))) for alias, condition in by_alias.items()]
+    for panel, (field, _, aliases) in terms.items():
+        shown = reduce(or_, [by_alias[a] for a in aliases])
+        cells.append(F.when(shown & F.col(field).isNotNull(), _cell(panel, None, F.col(field))))
+    return cells
+
+
+def _bundle(
+    cells: DataFrame,
+    terms: Mapping[str, tuple[str, int, Sequence[str]]],
+    charted: Sequence[str],
+    interval: str,
+    span: tuple[dt.datetime, dt.datetime] | None,
+) -> DataFrame:
+    """Panels of the cells (panel, series, key, n): sums, the first rows of top-N panels, zeros where nothing happened."""
+    if span is not None:
+        grid = zero_grid(cells.sparkSession, *span, interval, charted)
+        at = F.unix_seconds("bucket").cast("string").alias("key")
+        cells = cells.unionByName(grid.select(F.lit("histogram").alias("panel"), "series", at, "n"))
+    size = F.lit(0)
+    for panel, (_, n, _) in terms.items():
+        size = F.when(F.col("panel") == panel, F.lit(n)).otherwise(size)
+    # As an aggregate, the mark cannot be pushed below the count: both uses share one shuffle.
+    is_term = F.max(F.col("panel").isin(*terms)).alias("_ranked")
+    counts = cells.groupBy("panel", "series", "key").agg(F.sum("n").alias("n"), is_term)
+    ranked = F.col("_ranked")
+    rank = F.row_number().over(Window.partitionBy("panel").orderBy(F.desc("n"), F.asc("key")))
+    largest = max((n for _, n, _ in terms.values()), default=0)
+    top = counts.filter(ranked).withColumn("_rank", rank).filter(F.col("_rank") <= largest)
+    top = top.filter(F.col("_rank") <= size).drop("_rank")
+    out = counts.filter(~ranked).unionByName(top).drop("_ranked")
+    # Times are formatted here, once per bucket, and not once per event.
+    time = F.date_format(F.timestamp_seconds(F.col("key").try_cast("bigint")), "yyyy-MM-dd HH:mm:ss")
+    return out.withColumn("key", F.when(F.col("panel") == "histogram", time).otherwise(F.col("key")))
+
+
 def panel_bundle(
     df: DataFrame,
     queries: Sequence[NamedQuery],
@@ -273,6 +321,7 @@ def panel_bundle(
     interval: str,
     terms: Mapping[str, tuple[str, int, Sequence[str]]],
     ts: str = "event_ts",
+    span: tuple[dt.datetime, dt.datetime] | None = None,
 ) -> DataFrame:
     """All counting panels of a dashboard from one scan and one shuffle.
 
@@ -280,37 +329,53 @@ def panel_bundle(
     the expansion is narrowed by the map-side partial count.  Top-N panels keep
     their first rows by rank, which Spark limits per task before it shuffles.
     ``charted`` are the histogram's queries, ``terms`` the top-N panels as
-    title -> (field, size, queries).  Columns: panel, series, key, n.
+    title -> (field, size, queries).  With ``span`` the histogram has all buckets
+    of that range.  Columns: panel, series, key, n.
     """
-
-    def cell(panel: str, series: str | None, key: Column) -> Column:
-        return F.struct(
-            F.lit(panel).alias("panel"), F.lit(series).cast("string").alias("series"), key.cast("string").alias("key")
-        )
-
     start = F.unix_seconds(bucket(F.col(ts), interval))
     by_alias = {q.alias: q.condition for q in queries if q.enabled}
-    cells = []
-    for alias, condition in by_alias.items():
-        cells.append(F.when(condition, cell("hits", alias, F.lit(None))))
-        if alias in charted:
-            cells.append(F.when(condition, cell("histogram", alias, start)))
-    size = F.lit(0)
-    for panel, (field, n, aliases) in terms.items():
-        shown = reduce(or_, [by_alias[a] for a in aliases])
-        cells.append(F.when(shown & F.col(field).isNotNull(), cell(panel, None, F.col(field))))
-        size = F.when(F.col("panel") == panel, F.lit(n)).otherwise(size)
-
+    cells = _cells(by_alias, terms)
+    cells += [F.when(by_alias[alias], _cell("histogram", alias, start)) for alias in charted if alias in by_alias]
     expanded = df.select(F.explode(F.array(*cells)).alias("c")).filter(F.col("c").isNotNull()).select("c.*")
-    # As an aggregate, the mark cannot be pushed below the count: both uses share one shuffle.
-    is_term = F.max(F.col("panel").isin(*terms)).alias("_ranked")
-    counts = expanded.groupBy("panel", "series", "key").agg(F.count("*").alias("n"), is_term)
-    ranked = F.col("_ranked")
-    rank = F.row_number().over(Window.partitionBy("panel").orderBy(F.desc("n"), F.asc("key")))
-    largest = max(n for _, n, _ in terms.values())
-    top = counts.filter(ranked).withColumn("_rank", rank).filter(F.col("_rank") <= largest)
-    top = top.filter(F.col("_rank") <= size).drop("_rank")
-    out = counts.filter(~ranked).unionByName(top).drop("_ranked")
-    # Times are formatted here, once per bucket, and not once per event.
-    time = F.date_format(F.timestamp_seconds(F.col("key").try_cast("bigint")), "yyyy-MM-dd HH:mm:ss")
-    return out.withColumn("key", F.when(F.col("panel") == "histogram", time).otherwise(F.col("key")))
+    shown = [alias for alias in charted if alias in by_alias]
+    return _bundle(expanded.withColumn("n", F.lit(1).cast("bigint")), terms, shown, interval, span)
+
+
+def panel_partials(
+    df: DataFrame,
+    queries: Sequence[NamedQuery],
+    terms: Mapping[str, tuple[str, int, Sequence[str]]],
+    width: str = "5m",
+    ts: str = "event_ts",
+) -> DataFrame:
+    """Counts per panel, series, key and bucket of ``width``, which add up over batches and buckets.
+
+    ``panels_of`` makes the panels of any range of whole buckets from them.  Events without a time have no bucket.
+    """
+    cells = _cells({q.alias: q.condition for q in queries if q.enabled}, terms)
+    timed = df.filter(F.col(ts).isNotNull()).select(bucket(F.col(ts), width).alias("bucket"), F.explode(F.array(*cells)).alias("c"))
+    return summed(timed.filter(F.col("c").isNotNull()).select("c.*", "bucket", F.lit(1).cast("bigint").alias("n")))
+
+
+def summed(partials: DataFrame) -> DataFrame:
+    """Partial counts of the same cell and bucket as one row."""
+    return partials.groupBy("panel", "series", "key", "bucket").agg(F.sum("n").alias("n"))
+
+
+def panels_of(
+    partials: DataFrame,
+    charted: Sequence[str],
+    interval: str,
+    terms: Mapping[str, tuple[str, int, Sequence[str]]],
+    span: tuple[dt.datetime, dt.datetime] | None = None,
+) -> DataFrame:
+    """What ``panel_bundle`` gives for the events that the partial counts stand for.
+
+    The histogram comes from the hits; buckets of ``interval`` are whole numbers of kept ones.
+    """
+    hit = F.struct("panel", "series", "key")
+    at = F.unix_seconds(bucket(F.col("bucket"), interval)).cast("string")
+    charts = (F.col("panel") == "hits") & F.col("series").isin(*charted)
+    chart = F.struct(F.lit("histogram").alias("panel"), "series", at.alias("key"))
+    both = F.when(charts, F.array(hit, chart)).otherwise(F.array(hit))
+    return _bundle(partials.select(F.explode(both).alias("c"), "n").select("c.*", "n"), terms, charted, interval, span)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions.search import TIME_RANGES, NamedQuery, equals, everything, phrase, since
 from timberline.functions.tags import has_tag
-from timberline.operators.panels import auto_interval, events_table, panel_bundle
+from timberline.operators.panels import auto_interval, events_table, panel_bundle, panel_partials, panels_of
 
 
 @dataclass(frozen=True)
@@ -35,8 +35,19 @@ class Dashboard:
         return df.filter(since(F.col("event_ts"), as_of, self.span) & self.must())
 
     def panels(self, df: DataFrame, as_of: dt.datetime) -> DataFrame:
-        """Histogram, hits and top terms, from one scan."""
-        return panel_bundle(self.scope(df, as_of), self.queries(), self.histogram, self.interval, self.terms)
+        """Histogram with its empty buckets, hits and top terms, from one scan."""
+        return panel_bundle(self.scope(df, as_of), self.queries(), self.histogram, self.interval, self.terms, span=self.range(as_of))
+
+    def range(self, as_of: dt.datetime) -> tuple[dt.datetime, dt.datetime]:
+        return as_of - TIME_RANGES[self.span], as_of
+
+    def partials(self, df: DataFrame, width: str) -> DataFrame:
+        """The counts of all panels per bucket of ``width``."""
+        return panel_partials(df.filter(self.must()), self.queries(), self.terms, width)
+
+    def panels_of(self, partials: DataFrame, as_of: dt.datetime) -> DataFrame:
+        """The panels from partial counts of the buckets in range."""
+        return panels_of(partials, self.histogram, self.interval, self.terms, self.range(as_of))
 
     def table(self, df: DataFrame, as_of: dt.datetime, tie: str = "ingest_seq") -> DataFrame:
         """The latest events."""

@@ -409,10 +409,12 @@ def field_presence(spark, folder):
 
 
 # --- dashboards ---------------------------------------------------------------
-def _panel_sql(hist_width: str, hits: list[tuple[str, str]], charted: str, terms: list[tuple[str, str, int, str]], source: str) -> str:
+def _panel_sql(hist_width: str, hits: list[tuple[str, str]], charted: str, terms: list[tuple[str, str, int, str]], source: str, span: str, as_of: str = "m") -> str:
     parts = [f"SELECT 'hits' AS panel, '{a}' AS series, cast(NULL as varchar) AS key, count(*) AS n FROM s WHERE {w} HAVING count(*) > 0" for a, w in hits]
+    low, high = (f"time_bucket(INTERVAL '{hist_width}', {t})" for t in (f"{as_of} - INTERVAL '{span}'", as_of))
     parts.append(
-        f"SELECT 'histogram', '{charted}', strftime(time_bucket(INTERVAL '{hist_width}', ts), '{SECOND}'), count(*) FROM s GROUP BY ALL"
+        f"SELECT 'histogram', '{charted}', strftime(b, '{SECOND}'), cast(sum(n) as bigint) FROM (SELECT time_bucket(INTERVAL '{hist_width}', ts) AS b, count(*) AS n FROM s GROUP BY ALL "
+        f"UNION ALL SELECT unnest(generate_series({low}, {high}, INTERVAL '{hist_width}')), 0 FROM (SELECT max(ts) AS m FROM events)) GROUP BY ALL"
     )
     for panel, field, size, where in terms:
         title = panel.replace("'", "''")
@@ -427,20 +429,22 @@ _OK = "event_id % 50 <> 0"
 
 
 # A syslog line carries whole seconds, so the range starts at a whole second too.
-@query(
-    "dashboard_central",
-    _panel_sql(
-        "5 minutes",
-        [("all", "true"), ("Invalid User", f"event_type = 'view' AND {_OK}"), ("Failed Password", f"event_type = 'error' AND {_OK}")],
-        "all",
-        [
-            ("Syslog Severities", _SEVERITY, 10, "true"),
-            ("Syslog Program", f"(CASE WHEN {_OK} THEN {L.PROGRAM} END)", 10, "true"),
-            ("Top 10 Sources", f"(CASE WHEN {_OK} THEN {HOST} ELSE 'relay' END)", 10, "true"),
-        ],
-        "SELECT * FROM events, (SELECT max(ts) AS m FROM events) WHERE date_trunc('second', ts) >= date_trunc('second', m) - INTERVAL '12 hours'",
-    ),
+CENTRAL_SQL = _panel_sql(
+    "5 minutes",
+    [("all", "true"), ("Invalid User", f"event_type = 'view' AND {_OK}"), ("Failed Password", f"event_type = 'error' AND {_OK}")],
+    "all",
+    [
+        ("Syslog Severities", _SEVERITY, 10, "true"),
+        ("Syslog Program", f"(CASE WHEN {_OK} THEN {L.PROGRAM} END)", 10, "true"),
+        ("Top 10 Sources", f"(CASE WHEN {_OK} THEN {HOST} ELSE 'relay' END)", 10, "true"),
+    ],
+    "SELECT * FROM events, (SELECT max(ts) AS m FROM events) WHERE date_trunc('second', ts) >= date_trunc('second', m) - INTERVAL '12 hours'",
+    "12 hours",
+    "date_trunc('second', m)",
 )
+
+
+@query("dashboard_central", CENTRAL_SQL)
 def dashboard_central(spark, folder):
     """Raw syslog lines to the central dashboard's panels."""
     as_of = latest(table(spark, folder, "events"), "ts").replace(microsecond=0)
@@ -480,6 +484,7 @@ def _windows_dashboard(board, spark, folder):
             ("Top Error Codes", "(CASE WHEN event_type = 'error' THEN '0x18' END)", 10, _GOOD),
         ],
         _WINDOWS_SOURCE,
+        "24 hours",
     ),
 )
 def dashboard_windows(spark, folder):
@@ -498,6 +503,7 @@ def dashboard_windows(spark, folder):
             ("Most Locked Out", "('user' || cast(event_id % 20 as varchar))", 10, f"{_GOOD} AND event_type = 'error'"),
         ],
         _WINDOWS_SOURCE,
+        "24 hours",
     ),
 )
 def dashboard_lockouts(spark, folder):

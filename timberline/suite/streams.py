@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timberline.fixtures import lines as L
-from timberline.functions.search import by_query, pick
+from timberline.functions.search import arrived_since, by_query, pick
 from timberline.functions.tags import no_tags, tags_by_type
 from timberline.operators import syslog
 from timberline.session import latest, table
 from timberline.sources import storage
 from timberline.sources.store import EventStore
+from timberline.plans.dashboards import CENTRAL
 from timberline.streaming import jobs
+from timberline.streaming.panel_tables import PanelTables
 from timberline.suite import query
 from timberline.suite.parsing import _DOC_LINES, second
 from timberline.suite.storing import _FAMILY_SQL, typed_events
-from timberline.suite.searching import _SERIES, SECOND, log_events, named_queries
+from timberline.suite.searching import _SERIES, CENTRAL_SQL, SECOND, log_events, named_queries
 
 
 BATCHES = 4
@@ -123,6 +125,22 @@ def stream_late_events(spark, folder):
     return out.groupBy(F.col("event_date").cast("string").alias("event_day")).agg(F.count("*").alias("n"), late)
 
 
+@query("stream_dashboard", CENTRAL_SQL)
+def stream_dashboard(spark, folder):
+    """The central dashboard from counts that the stream of raw lines keeps, folded on the way and at the end."""
+    raw = L.syslog_lines(spark, folder).withColumn("received_at", F.date_trunc("second", "received_at"))
+    stream, path = _files(spark, folder, raw, "dashboard")
+
+    def parsed(lines):
+        return syslog.parse_syslog(lines.withColumn("tags", tags_by_type(F.col("type"), F.col("tags"))))
+
+    kept = PanelTables(spark, f"{path}/out", CENTRAL, fold_every=2)
+    _run(kept.stream(stream, f"{path}/checkpoint", None, parsed))
+    kept.fold()
+    as_of = latest(table(spark, folder, "events"), "ts").replace(microsecond=0)
+    return kept.panels(as_of, parsed(raw.filter(arrived_since(F.col("received_at"), as_of, CENTRAL.span))))
+
+
 @query(
     "stream_alerts",
     "SELECT 'host' || cast(user_id % 10 as varchar) AS alert_host, 'LogstashAlertTest' AS alert_service, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY ALL",
