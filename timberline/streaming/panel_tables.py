@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from timberline.operators.panels import INTERVALS, summed
 from timberline.plans.dashboards import Dashboard
 from timberline.sources.store import EventStore
 
-UTC = dt.timezone.utc
+UTC, TICK = dt.timezone.utc, dt.timedelta(microseconds=1)
 
 
 class PanelTables:
@@ -70,24 +72,33 @@ class PanelTables:
         self.store.fold()
         return took
 
+    def _whole(self, as_of: dt.datetime) -> tuple[dt.datetime, dt.datetime]:
+        """The start of the first and the end of the last bucket that lie in the range as a whole."""
+        start, end = self.board.range(as_of)
+        wide, zero = dt.timedelta(seconds=INTERVALS[self.width]), dt.datetime(1970, 1, 1, tzinfo=UTC)
+        first = zero + -((zero - start.astimezone(UTC)) // wide) * wide
+        return first, zero + (end.astimezone(UTC) + TICK - zero) // wide * wide
+
+    def edges(self, as_of: dt.datetime) -> list[tuple[dt.datetime, dt.datetime]]:
+        """The parts of the range, ends included, that cut a bucket; at most two, and shorter than a bucket each."""
+        start, end = (t.astimezone(UTC) for t in self.board.range(as_of))
+        first, after = self._whole(as_of)
+        if first >= after:
+            return [(start, end)]
+        return [(a, b) for a, b in ((start, first - TICK), (after, end)) if a <= b]
+
     def panels(self, as_of: dt.datetime, events: DataFrame | None = None) -> DataFrame:
         """The dashboard at a time, equal to what it shows of all events counted so far.
 
-        Buckets that lie in the range as a whole come from the kept counts.  Where the range cuts a bucket at
-        either end, that part is counted from ``events``, of which no other time is read; without
-        them nothing is shown of the cut buckets.
+        Buckets that lie in the range as a whole come from the kept counts.  The ``edges`` are counted from
+        ``events``, of which no other time counts (a store's scans of the edges are enough); without them
+        nothing is shown of the cut buckets.
         """
-        start, end = (t.astimezone(UTC) for t in self.board.range(as_of))
-        wide = dt.timedelta(seconds=INTERVALS[self.width])
-        zero, tick = dt.datetime(1970, 1, 1, tzinfo=UTC), dt.timedelta(microseconds=1)
-        first = zero + -((zero - start) // wide) * wide  # the first bucket that starts in the range
-        after = zero + (end + tick - zero) // wide * wide  # the end of the last one that ends in it
-        rows = self.store.scan(first, after - tick, ts="bucket").drop("index_family", "event_date")
+        first, after = self._whole(as_of)
+        rows = self.store.scan(first, after - TICK, ts="bucket").drop("index_family", "event_date")
         if events is not None:
-            at = F.col("event_ts")
-            if first < after:
-                cut = ((at >= F.lit(start)) & (at < F.lit(first))) | ((at >= F.lit(after)) & (at <= F.lit(end)))
-            else:  # no bucket lies in the range as a whole
-                rows, cut = rows.limit(0), at.between(F.lit(start), F.lit(end))
+            edges = self.edges(as_of)
+            # A lambda computes the time once, which matters where a parser stands behind it.
+            cut = F.exists(F.array("event_ts"), lambda t: reduce(or_, [t.between(F.lit(a), F.lit(b)) for a, b in edges] or [F.lit(False)]))
             rows = rows.unionByName(self.board.partials(events.where(cut), self.width))
         return self.board.panels_of(rows, as_of)
