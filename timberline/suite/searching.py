@@ -10,6 +10,7 @@ from timberline.fixtures import lines as L
 from timberline.functions import search as S
 from timberline.functions.tags import tags_by_type
 from timberline.operators import panels as P
+from timberline.operators.frequent import frequent_terms
 from timberline.operators import syslog, windows
 from timberline.plans.dashboards import CENTRAL, LOCKOUTS, WINDOWS
 from timberline.session import latest, spread, table
@@ -317,6 +318,31 @@ def panel_top_terms_other_missing(spark, folder):
     return P.top_terms(df, "who", 10, exclude=["u1", "u2"], missing=True, other=True)
 
 
+_WORDS = "(SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS term FROM {})"
+
+
+def _words(spark, folder, name):
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), F.lit(1))
+    return table(spark, folder, name).select(F.explode(words).alias("term"))
+
+
+@query(
+    "panel_frequent_words",
+    f"""WITH c AS (SELECT term, count(*) AS n FROM {_WORDS.format('documents')} WHERE term NOT IN ('the', 'The') GROUP BY term),
+    top AS (SELECT * FROM c ORDER BY n DESC, term LIMIT 20)
+    SELECT 'term' AS kind, term, n FROM top
+    UNION ALL SELECT 'other', NULL, cast((SELECT sum(n) FROM c) - (SELECT sum(n) FROM top) as bigint)""",
+)
+def panel_frequent_words(spark, folder):
+    """The words of whole texts: as many terms as the texts have different words."""
+    return frequent_terms(_words(spark, folder, "documents"), "term", 20, exclude=["the", "The"], other=True)
+
+
+@query("panel_frequent_parts", _top("l_partkey", 10, "lineitem"))
+def panel_frequent_parts(spark, folder):
+    return frequent_terms(table(spark, folder, "lineitem"), "l_partkey", 10)
+
+
 @query(
     "panel_terms_stats",
     f"""SELECT {HOST} AS term, count(value) AS count, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(sum(value), 4) AS total
