@@ -30,6 +30,7 @@ from timberline.functions.scalar import (
 )
 from timberline.functions.tags import tags_by_type
 from timberline.operators import cisco, databases, enrich, firewall, multiline, nagios, quality, syslog, vmware, web, windows
+from timberline.operators.locations import locate, networks, range_networks
 from timberline.plans.indexing import index_events
 from timberline.session import spread, table
 from timberline.sources.template import apply_template, prune, prune_mixed
@@ -616,6 +617,38 @@ def geo_enrich(spark, folder):
     )
 
 
+_ADDRESSES = """a AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '2001:db8:' || cast(user_id % 40 as varchar) || '::' || cast(event_id % 1000 as varchar)
+    WHEN event_id % 11 <> 0 THEN '10.' || cast(user_id % 30 as varchar) || '.' || cast((event_id // 256) % 256 as varchar) || '.' || cast(event_id % 256 as varchar) END AS ip,
+    CASE WHEN event_id % 5 = 0 OR event_id % 11 = 0 THEN NULL ELSE (user_id % 30) * 65536 + event_id % 65536 END AS low,
+    CASE WHEN event_id % 5 = 0 THEN user_id % 40 END AS six FROM events)"""
+
+
+@query(
+    "geo_longest_prefix",
+    f"""WITH {_ADDRESSES}, c AS (SELECT c_custkey, 65536 + c_custkey * 6 AS s, 65536 + c_custkey * 6 + c_custkey % 6 AS e FROM customer)
+    SELECT event_id, ip, CASE WHEN c_custkey IS NOT NULL THEN 'customer ' || cast(c_custkey as varchar) WHEN v.n_name IS NOT NULL THEN v.n_name
+    WHEN n.n_name IS NOT NULL THEN n.n_name WHEN six IS NOT NULL THEN 'documentation' END AS place
+    FROM a LEFT JOIN c ON low BETWEEN s AND e LEFT JOIN nation n ON low // 65536 = n.n_nationkey LEFT JOIN nation v ON six = v.n_nationkey""",
+)
+def geo_longest_prefix(spark, folder):
+    """Ranges of customers side by side inside one network of a nation; networks of nations, IPv6 too, inside wider ones."""
+    events = table(spark, folder, "events").select(
+        "event_id",
+        F.expr(
+            """CASE WHEN event_id % 5 = 0 THEN concat('2001:db8:', user_id % 40, '::', event_id % 1000)
+            WHEN event_id % 11 <> 0 THEN concat('10.', user_id % 30, '.', (event_id div 256) % 256, '.', event_id % 256) END"""
+        ).alias("ip"),
+    )
+    nation = table(spark, folder, "nation").select("n_name", F.explode(F.expr("array(concat('10.', n_nationkey, '.0.0/16'), concat('2001:db8:', n_nationkey, '::/48'))")).alias("net"))
+    wide = spark.range(1).select(F.lit("2001:db8::/32").alias("net"), F.lit("documentation").alias("n_name"))
+    start = F.lit(10 << 24).cast("bigint") + 65536 + F.col("c_custkey") * 6
+    own = table(spark, folder, "customer").select(
+        start.alias("s"), (start + F.col("c_custkey") % 6).alias("e"), F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("name")
+    )
+    nets = networks(nation.unionByName(wide), "net", "n_name").unionByName(range_networks(own, "s", "e", "name"))
+    return locate(events, "ip", nets, "place").select("event_id", "ip", "place")
+
+
 @query(
     "host_resolve",
     """SELECT event_id, 'host' || cast(user_id as varchar) AS host, coalesce('172.16.' || cast(cast(floor(s_suppkey / 250) as bigint) as varchar) || '.' || cast(s_suppkey % 250 as varchar),
