@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
+#: Rows of one task of work that is heavy per row.
+TASK_ROWS = 1 << 17
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -35,13 +37,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for work that is heavy per row.
+    """Deal rows out for work that is heavy per row: to all cores, and no more than ``TASK_ROWS`` a task.
 
-    A small table in one row group is read by one task.  Tables with at least as
-    many read tasks as cores are left as they are, without a shuffle.
+    A row group is read by one task, whatever number of rows it has, so a file that is cut into many read
+    tasks may still have all rows in a few of them.  The rows are counted from the files' footers; tables
+    with at least as many read tasks as that takes are left as they are, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
 
 
 def latest(df: DataFrame, column: str) -> dt.datetime:
