@@ -190,5 +190,21 @@ def stream_index_types(spark, folder):
     job = _run(jobs.index_stream(stream, f"{path}/out", f"{path}/checkpoint", types=["syslog", "redis"]))
     jobs.finish_index(spark, f"{path}/out", job.lastProgress["batchId"])
     events = EventStore(spark, f"{path}/out").scan()
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("ingest_seq")), lambda x: x.cast("string")), ",")
-    return events.groupBy("type", "index_family").agg(F.count("*").alias("n"), F.md5(ids).alias("digest"))
+    return events_digest(events, "type", "index_family")
+
+
+#: Sequence numbers whose text is put together in one group.
+CHUNK = 1 << 13
+
+
+def events_digest(events, *keys):
+    """n, and the MD5 of all sequence numbers in order, of each group.
+
+    The text of a group is put together from that of its chunks, which are sorted apart; equal numbers are counted.
+    """
+    seq = F.col("ingest_seq")
+    counts = events.groupBy(*keys, seq).agg(F.count("*").alias("n"))
+    texts = F.transform(F.array_sort(F.collect_list(F.when(seq.isNotNull(), F.struct(seq.alias("s"), "n")))), lambda x: F.array_join(F.array_repeat(x.s.cast("string"), x.n.cast("int")), ","))
+    chunks = counts.groupBy(*keys, F.floor(seq / CHUNK).alias("chunk")).agg(F.sum("n").alias("n"), F.array_join(texts, ",").alias("text"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("chunk").isNotNull(), F.struct("chunk", "text"))))
+    return chunks.groupBy(*keys).agg(F.sum("n").alias("n"), F.md5(F.array_join(F.transform(parts, lambda x: x.text), ",")).alias("digest"))
