@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -58,6 +60,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_MEMOS: list[dict] = []
+
+
+def memo() -> dict:
+    """What Python workers remember for one operator, which only saves time."""
+    _MEMOS.append({})
+    return _MEMOS[-1]
+
+
+def forget_others(own: dict | None = None) -> None:
+    """Empty the other operators' memos in this Python worker and give their memory back.
+
+    A worker serves the tasks of all stages; it remembers for one operator at a time, so what it holds does not add up.
+    """
+    others = [x for x in _MEMOS if x and x is not own]
+    for x in others:
+        x.clear()
+    if others:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table does not have, whatever the case of its letters."""
     taken = {x.lower() for x in df.columns}
