@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timberline.llm.common import column, mix64, prepare, stored
+from timberline.llm.common import column, forget_others, memo, mix64, prepare, stored
 
 ORDER = 4
 ROWS = 800
@@ -176,7 +176,7 @@ class Models:
         return -np.add.reduceat(total, starts, axis=0) if len(starts) else np.zeros((0, len(self.languages)))
 
 
-_WORKER: dict = {}
+_WORKER = memo()
 
 
 def entropies(models: Models, values: list[str | None], key: object) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +184,7 @@ def entropies(models: Models, values: list[str | None], key: object) -> tuple[np
 
     Scores of words are remembered by this Python worker, which only saves time.
     """
+    forget_others(_WORKER)
     if _WORKER.get("key") != key:
         _WORKER.update(key=key, places={}, scores=np.zeros((0, len(models.languages)), np.float32))
     out = np.full((len(values), len(models.languages)), np.nan)

@@ -4,8 +4,11 @@ A text is the set of its shingles of SIZE words.  BANDS keys of ROWS min-hashes
 texts candidates where a key agrees: of pairs of similarity 0.8 one in 16,000 shares no key, of
 0.85 one in three million.  A candidate pair links only if the sets themselves agree in 4 of 5.
 
+Before the keys, texts whose 5-word fingerprints (`simhash.py`, covering tables) differ in 3 bits or fewer are candidates
+as well; they pass the same check, so they add pairs that share no key and never take one away.
+
 Candidates come in two steps, so that a large group of near copies does not send all its pairs.
-First each text goes to the smallest one under its key, and what links is contracted.  Then only
+First each text goes to the smallest one under its key or fingerprint, and what links is contracted.  Then only
 keys that hold several components are looked at again.  A key of a FEW members sends the pairs across
 its components.  A key of more, such as a group whose copies are not alike enough to link to the smallest one, is
 dealt out in blocks, and blocks are compared whole, by matrix products over the shingles they share.
@@ -24,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timberline.llm.common import SPACED, WEIGHTS, binaries, column, free_name, mix64, prepare, scan, stored, texts
-from timberline.llm.simhash import SEED, components
+from timberline.llm.common import SPACED, WEIGHTS, binaries, column, forget_others, free_name, mix64, prepare, scan, stored, texts
+from timberline.llm.simhash import SEED, components, fingerprints_of, links
 
 SIZE = 5
 BANDS, ROWS = 32, 6
@@ -92,13 +95,16 @@ def mix_low(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def with_keys(docs: DataFrame, node: str, size: str, keys: str) -> DataFrame:
-    """All columns of `docs`, and of its text a hash of the shingle set, the size of the set and its band keys."""
+def with_keys(docs: DataFrame, node: str, size: str, keys: str, fp: str) -> DataFrame:
+    """All columns of `docs`, and of its text a hash of the shingle set, the size of the set, its band keys and its fingerprint."""
     added = [T.StructField(node, T.LongType()), T.StructField(size, T.LongType()), T.StructField(keys, T.ArrayType(T.LongType()))]
+    added.append(T.StructField(fp, T.LongType()))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
-            flat, counts = shingle_sets(texts(batch))
+            items = texts(batch)
+            flat, counts = shingle_sets(items)
             ends = np.cumsum(counts).tolist()
             digests = [xxhash.xxh64_intdigest(flat[e - c : e].tobytes(), SEED) for e, c in zip(ends, counts.tolist())]
             some = counts > 0
@@ -106,7 +112,8 @@ def with_keys(docs: DataFrame, node: str, size: str, keys: str) -> DataFrame:
             values = band_keys(flat, counts[some]).view(np.int64).ravel()
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
             columns = [pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(counts.astype(np.int64)), lists]
-            yield pa.record_batch([*batch.columns, *columns], [*batch.schema.names, node, size, keys])
+            columns.append(pa.array(fingerprints_of(items, SIZE).view(np.int64)))
+            yield pa.record_batch([*batch.columns, *columns], [*batch.schema.names, node, size, keys, fp])
 
     return docs.mapInArrow(add, T.StructType([*docs.schema.fields, *added]))
 
@@ -125,6 +132,7 @@ def _checked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     both = both.join(some.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             sides = []
             for name in ("x", "y"):
@@ -141,6 +149,7 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, shingles: the sorted shingle hashes of the texts of these nodes, 8 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             flat, counts = shingle_sets(texts(batch))
             pieces = np.split(flat, np.cumsum(counts)[:-1]) if len(counts) else []
@@ -215,13 +224,24 @@ def _hot_links(inside: DataFrame, rows: DataFrame) -> DataFrame:
     return dealt.join(some, "node").groupBy("k", "lo", "hi").applyInArrow(_block_links, "a long, b long").checkpoint()
 
 
+def _prints(nodes: DataFrame) -> DataFrame:
+    """Candidates (a, b) of fingerprints within 3 bits: a node and the smallest one of its fingerprint or of a linked one."""
+    first = nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("lead")).checkpoint()
+    same = nodes.join(first, "fp").select(F.struct("node", "n").alias("x"), F.col("lead").alias("y"))
+    found = links(first.select("fp"))
+    x, y = (first.select(F.col("fp").alias(c), F.col("lead").alias(d)) for c, d in (("a", "x"), ("b", "y")))
+    pairs = same.union(found.join(x, "a").join(y, "b").select("x", "y")).where((F.col("x.node") != F.col("y.node")) & _may(F.col("x.n"), F.col("y.n")))
+    return pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+
+
 def groups(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """node, root of the nodes that link to another; nodes (node, n, keys), rows (node, text)."""
+    """node, root of the nodes that link to another; nodes (node, n, keys, fp), rows (node, text)."""
     buckets = nodes.select("node", "n", F.explode("keys").alias("k"))
     lead = buckets.groupBy("k").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1")
     shared = buckets.join(lead.select("k", "lead"), "k").checkpoint()
     stars = shared.where((F.col("node") != F.col("lead.node")) & _may(F.col("n"), F.col("lead.n")))
-    stars = stars.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct().checkpoint()
+    stars = stars.select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
+    stars = stars.union(_prints(nodes)).distinct().checkpoint()
     found = _checked(stars, rows)
     named = components(found)
     inside = shared.join(named, "node", "left").select("k", "node", "n", F.coalesce("root", "node").alias("c"))
@@ -242,12 +262,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     NULL, empty and blank texts have the empty set and are one group.
     """
     prepare(docs.sparkSession)
-    node, size, keys, row = (free_name(docs, x) for x in ("node", "n", "keys", "row"))
-    rows = stored(with_keys(docs, node, size, keys).withColumn(row, F.monotonically_increasing_id()), "similar")
+    node, size, keys, fp, row = (free_name(docs, x) for x in ("node", "n", "keys", "fp", "row"))
+    rows = stored(with_keys(docs, node, size, keys, fp).withColumn(row, F.monotonically_increasing_id()), "similar")
     ids = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(node).alias("node"), F.col(row).alias("row"))
-    nodes = rows.groupBy(F.col(node).alias("node")).agg(F.min(row).alias("row"), F.any_value(size).alias("n"), F.any_value(keys).alias("keys")).checkpoint()
+    values = (F.any_value(size).alias("n"), F.any_value(keys).alias("keys"), F.any_value(fp).alias("fp"))
+    nodes = rows.groupBy(F.col(node).alias("node")).agg(F.min(row).alias("row"), *values).checkpoint()
     one = rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")).join(nodes.select("node", "row"), "row").select("node", "text")
-    named = groups(nodes.select("node", "n", "keys"), one)
+    named = groups(nodes.select("node", "n", "keys", "fp"), one)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row")))
     stay = ids.join(named, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(best.alias("x"))
     return rows.join(stay.select(F.col("x.row").alias(row)), row, "left_semi").select(*docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timberline.llm.common import column, free_name, prepare, shared_folder, stored
+from timberline.llm.common import column, forget_others, free_name, memo, prepare, shared_folder, stored
 
 ROWS = 20_000
 LONGEST = 50_000
@@ -114,7 +114,7 @@ def features_of(text: str | None, lexicon: frozenset[str], memo: dict[str, int])
     ]
 
 
-_WORKER: dict = {}
+_WORKER = memo()
 
 
 def with_features(docs: DataFrame, lexicon: list[str], name: str) -> DataFrame:
@@ -123,6 +123,7 @@ def with_features(docs: DataFrame, lexicon: list[str], name: str) -> DataFrame:
     shared, key = spark.sparkContext.broadcast(frozenset(lexicon)), uuid.uuid4().hex
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(_WORKER)
         if _WORKER.get("key") != key:
             _WORKER.update(key=key, memo={})
         for batch in batches:
