@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.extract import parse
@@ -66,6 +68,9 @@ LOGIN_TAGS = {
     "authentication failure": "sudo_auth_failure",
 }
 
+#: Words that only login lines have; the others do not go through the patterns.
+LOGIN_WORDS = ["sshd[", "sudo: pam_unix(sudo:auth): "]
+
 CANARY_TAG = "nagios_check_syslog_test"
 CANARY = line_pattern(_BASE + r" {line_message:rest} nagios log test")
 
@@ -111,7 +116,8 @@ def parse_cron(df: DataFrame) -> DataFrame:
 
 def parse_logins(df: DataFrame) -> DataFrame:
     """Login fields and one tag per line that is a login event."""
-    df = parse(df, LOGINS, ok="login", longs=["port", "uid", "euid"])
+    some = reduce(Column.__or__, [F.col("message").contains(words) for words in LOGIN_WORDS])
+    df = parse(df, LOGINS, ok="login", longs=["port", "uid", "euid"], when=some)
     tag = F.lit(None).cast("string")
     for outcome, name in LOGIN_TAGS.items():
         tag = F.when(F.col("login_outcome") == outcome, F.lit(name)).otherwise(tag)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.functions.extract import once
 from timberline.functions.scalar import device_time
 from timberline.functions.tags import has_tag, tags_by_type
 from timberline.operators.cisco import flow_fingerprint, parse_asa, parse_ios
@@ -57,18 +58,37 @@ FIREWALLS = {
 
 
 def _parse_firewall(df: DataFrame) -> DataFrame:
-    """Each kind of device by its own parser; columns of one name take the type that they have for the appliance."""
-    line = F.coalesce("message", F.lit(""))
-    rest, frames = F.lit(True), []
-    for is_kind, parser in FIREWALLS.values():
-        frames.append(parser(df.where(rest & is_kind(line))))
-        rest = rest & ~is_kind(line)
-    whole = flow_fingerprint(parse_asa(df.where(rest)))
-    for frame in frames:
-        types = dict(whole.dtypes)
-        frame = frame.withColumns({c: F.col(c).try_cast(types[c]) for c, t in frame.dtypes if types.get(c, t) != t})
-        whole = whole.unionByName(frame, allowMissingColumns=True)
-    return whole
+    """Each kind of device by its own parser, in one pass; columns of one name take the type that they have for the appliance.
+
+    A parser sees the lines of its kind only, the others as NULL.  One filtered branch for each kind would read,
+    deal out and build every line again, and its filter would move to the few tasks that read the files.
+    """
+    line, kind = F.coalesce("message", F.lit("")), F.lit("")
+    for name, (is_kind, _) in reversed(FIREWALLS.items()):
+        kind = F.when(is_kind(line), name).otherwise(kind)
+    df = once(df, "_kind", kind)
+    given = {c: f"_given_{c}" for c in df.columns if c != "_kind"}
+    df = df.select("_kind", *(F.col(c).alias(n) for c, n in given.items()))
+    parsers = {"": lambda df: flow_fingerprint(parse_asa(df)), **{name: parser for name, (_, parser) in FIREWALLS.items()}}
+    found: dict[str, dict[str, str]] = {}  # of each column, the kinds that have it and its name in this table
+    types: dict[str, str] = {}
+    for name, parser in parsers.items():
+        mine = {c: F.col(n) for c, n in given.items()} | {"message": F.when(F.col("_kind") == name, F.col(given["message"]))}
+        kept = df.columns
+        df = parser(df.withColumns(mine))
+        fields = [(c, t) for c, t in df.dtypes if c not in kept]
+        cells = [F.col(c) if types.setdefault(c, t) == t else F.col(c).try_cast(types[c]) for c, t in fields]
+        df = df.select(*kept, *(cell.alias(f"_{name}_{c}") for cell, (c, _) in zip(cells, fields)))
+        for c, _ in fields:
+            found.setdefault(c, {})[name] = f"_{name}_{c}"
+
+    def own(column: str) -> Column:
+        value = F.lit(None).cast(types[column])
+        for name, cell in found[column].items():
+            value = F.when(F.col("_kind") == name, F.col(cell)).otherwise(value)
+        return value
+
+    return df.select(*(own(c).alias(c) for c in found))
 
 
 PARSERS = {
