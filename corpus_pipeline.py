@@ -37,12 +37,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop contaminated documents; rows are told apart by a number given to them in a stored copy."""
+    """Drop contaminated documents.
+
+    Whether a document is contaminated follows from its text, so the digest of the text is its name: no copy of all texts
+    is stored to number them, and only the names of the contaminated ones are.  A NULL text has no words and stays.
+    """
+    digest = F.sha2(F.col("text").cast("string").cast("binary"), 256)
+    found = contamination(docs.select(digest.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), ids="string")
     key = free_name(docs, "key")
-    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    found = contamination(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(bad, key, "left_anti").select(*docs.columns)
+    bad = stored(found.where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return docs.join(bad, digest == F.col(key), "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

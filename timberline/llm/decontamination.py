@@ -31,17 +31,23 @@ ITEMS = 5000
 WINDOW = 13
 #: Bytes of item texts up to which they are broadcast.
 BROADCAST = 8 << 20
-INDEX = "shard long, doc_ids array<long>, n_words array<long>, terms binary, ends binary, postings binary"
+INDEX = "shard long, doc_ids array<{ids}>, n_words array<long>, terms binary, ends binary, postings binary"
 FOUND = "shard long, slot int, spans array<struct<a:int,b:int>>, items array<string>"
 
 
-def build_index(docs: DataFrame, path: str) -> str:
+def schema_of(ids: str = "long") -> str:
+    """Columns of an index whose documents are named by a type of Spark, long or string."""
+    return INDEX.format(ids=ids)
+
+
+def build_index(docs: DataFrame, path: str, ids: str = "long") -> str:
     """Write the index of whole texts to `path`."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast(ids).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names_type = pa.list_(pa.string() if ids == "string" else pa.int64())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        ids: list = []
+        some: list = []
         hashes: list[np.ndarray] = []
         counts: list[np.ndarray] = []
 
@@ -53,7 +59,7 @@ def build_index(docs: DataFrame, path: str) -> str:
             deltas[first] = order[first]  # places of a term as steps from one to the next
             return pa.record_batch(
                 [
-                    pa.array([task << 24 | made], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
+                    pa.array([task << 24 | made], pa.int64()), pa.array([some], names_type),
                     pa.array([np.concatenate(counts).tolist()], pa.list_(pa.int64())), binaries([terms.tobytes()]),
                     binaries([np.append(first[1:], len(stream)).astype(np.uint32).tobytes()]),
                     binaries([deltas.astype(np.uint32).tobytes()]),
@@ -68,20 +74,20 @@ def build_index(docs: DataFrame, path: str) -> str:
             while at < len(n):  # as many documents as the shard has room for, one at least
                 room = SHARD_WORDS - sum(map(len, hashes))
                 base = int(stops[at] - n[at])
-                upto = max(int(np.searchsorted(stops, base + room, "right")), at if ids else at + 1)
+                upto = max(int(np.searchsorted(stops, base + room, "right")), at if some else at + 1)
                 if upto > at:
-                    ids += names[at:upto]
+                    some += names[at:upto]
                     hashes.append(found[base : int(stops[upto - 1])])
                     counts.append(n[at:upto])
                 if upto < len(n):
                     yield flush()
-                    made, ids, hashes, counts = made + 1, [], [], []
+                    made, some, hashes, counts = made + 1, [], [], []
                 at = upto
-        if ids:
+        if some:
             yield flush()
 
     (
-        docs.mapInArrow(build, INDEX)
+        docs.mapInArrow(build, schema_of(ids))
         .write.option("compression", "zstd").option("parquet.block.size", str(16 << 20))
         .option("parquet.block.size.row.check.min", "1").option("parquet.block.size.row.check.max", "1").parquet(path)
     )
@@ -192,7 +198,7 @@ def phrase_matches(spark: SparkSession, path: str, items: DataFrame, window: int
     (from, to) in words of the document, joined where they overlap, and the items found.
     """
     blocks, n, size = item_blocks(items)
-    index = spark.read.schema(INDEX).parquet(path).drop("doc_ids")
+    index = spark.read.schema(schema_of()).parquet(path).drop("doc_ids")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
@@ -244,16 +250,16 @@ FOUND_ARROW = pa.schema(
 )
 
 
-def documents_of(spark: SparkSession, path: str) -> DataFrame:
+def documents_of(spark: SparkSession, path: str, ids: str = "long") -> DataFrame:
     """shard, slot, doc_id, n_words of each document of the index."""
-    rows = spark.read.schema(INDEX).parquet(path).select("shard", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("slot", "d"))
+    rows = spark.read.schema(schema_of(ids)).parquet(path).select("shard", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("slot", "d"))
     return rows.select("shard", "slot", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").alias("n_words"))
 
 
 def proximity_matches(spark: SparkSession, path: str, words: list[str], width: int) -> DataFrame:
     """doc_id, first, last: the shortest stretches of at most `width` words that hold all the given words."""
     wanted = scan([" ".join(words).encode()], ALNUM)[0]
-    index = spark.read.schema(INDEX).parquet(path)
+    index = spark.read.schema(schema_of()).parquet(path)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,20 +288,20 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, add, lambda acc: acc["n"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_words, n_hit, n_items, items (sorted), contaminated.
+def contamination(docs: DataFrame, items: DataFrame, path: str | None = None, window: int = WINDOW, ids: str = "long") -> DataFrame:
+    """One row per row of `docs`: doc_id (of type `ids`), n_words, n_hit, n_items, items (sorted), contaminated.
 
     A word is hit if an occurrence of a window covers it; a document is contaminated if at least
     a twentieth of its words are hit.  Without documents the result is empty; without items
     nothing is hit.
     """
     spark = prepare(docs.sparkSession)
-    path = build_index(docs, path or new_path(spark, "index"))
+    path = build_index(docs, path or new_path(spark, "index"), ids)
     hits = phrase_matches(spark, path, items, window).groupBy("shard", "slot").agg(
         _covered(F.flatten(F.collect_list("spans"))).alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    rows = documents_of(spark, path).join(hits, ["shard", "slot"], "left")
+    rows = documents_of(spark, path, ids).join(hits, ["shard", "slot"], "left")
     rows = rows.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
     rows = rows.withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return rows.select(
