@@ -7,8 +7,10 @@ that bit; for a negative weight the complement of the slices comes in.  The sum
 number in slices, never a number per row.  The top rows are then chosen from its most
 significant slice downward, and the rows that tie at the boundary by their ids.
 
-Queries go to all blocks in blocks of their own; each pair of blocks gives k rows a query,
-from which the final ranks are taken.
+Blocks are dealt to cells, and queries, in packs, go to all cells of their group.  A cell holds a
+bounded number of bytes of blocks while the packs pass by; each pack and block give k rows a
+query, from which the final ranks are taken.  Nothing is broadcast: packs are small, but they go to many
+cells, which Spark does not see when it takes a small side for one that may be broadcast.
 """
 
 from __future__ import annotations
@@ -26,9 +28,13 @@ from timberline.llm.common import binaries, column, new_path, partitions, prepar
 #: Vectors in a block of the index, and queries in a block.
 BLOCK = 1 << 14
 QUERIES = 256
+#: Bytes of blocks that a cell holds, or one block, and packs that a copy of a block is made for at least.
+HELD = 1 << 26
+PACKS = 8
 #: Quantised components and scores lie from -LIMIT to LIMIT - 1; anything beyond is an error, never another value.
 LIMIT = 1 << 63
 INDEX = "dim int, n int, bits int, ids binary, lows binary, slices binary"
+PACK = "dim int, pack long, queries binary, weights binary, width int"
 HITS = "query long, query_id long, copies long, vec_id long, score long, own boolean"
 
 
@@ -173,6 +179,43 @@ def build_index(vectors: DataFrame, path: str, scale: int = 256, block: int = BL
     return path
 
 
+def numbered(index: DataFrame) -> tuple[DataFrame, int, int]:
+    """The blocks with a `number` from 0 on, how many there are, and the bytes of slices of the largest.
+
+    The numbers only balance the work: the driver gets one row a read task.
+    """
+    at = index.withColumn("part", F.spark_partition_id())
+    rows = at.groupBy("part").agg(F.count("*").alias("n"), F.max(F.octet_length("slices")).alias("size")).collect()
+    counts = {row["part"]: row["n"] for row in rows}
+    before = np.cumsum([0, *(counts.get(p, 0) for p in range(max(counts, default=0)))]).tolist()
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    number = place + F.coalesce(F.get(F.lit(before), F.spark_partition_id()), F.lit(0))
+    return index.withColumn("number", number), sum(counts.values()), max((row["size"] for row in rows), default=0)
+
+
+def grid(n_blocks: int, largest: int, n_packs: int, tasks: int) -> tuple[int, int]:
+    """To how many deals the blocks go, and to how many groups the packs: each block is copied to all groups, each pack to all deals.
+
+    A block takes the bytes of about ten times the queries, and their hits, of as many vectors, so copies of both
+    weigh the same with the root of ten deals a task; more deals are made where blocks are too large to be held.
+    """
+    room = max(1, HELD // max(1, 2 * largest))
+    deals = max(1, -(-n_blocks // room), min(n_blocks, math.isqrt(10 * tasks)))
+    return deals, max(1, min(-(-n_packs // PACKS), -(-tasks // deals)))
+
+
+def packed(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.RecordBatch]:
+    """Packs of queries as bytes: the numbers of each query, and its weights as the smallest integers that hold all of a pack."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            keys = np.array([[q[c] for c in ("query", "vec_id", "copies")] for q in row["queries"]], "<i8")
+            weights = whole(np.array([q["v"] for q in row["queries"]], np.float64).ravel(), scale)
+            width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(weights) or (weights.min() >= -(1 << 8 * w - 1) and weights.max() < 1 << 8 * w - 1))
+            cells = [pa.array([row["dim"]], pa.int32()), pa.array([row["pack"]], pa.int64()), binaries([keys.tobytes()]), binaries([weights.astype(f"<i{width}").tobytes()]), pa.array([width], pa.int32())]
+            yield pa.record_batch(cells, ["dim", "pack", "queries", "weights", "width"])
+
+
 def search(queries: DataFrame, index: DataFrame, k: int, scale: int = 256, per_block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k best vectors of the index for each query vector.
 
@@ -185,27 +228,38 @@ def search(queries: DataFrame, index: DataFrame, k: int, scale: int = 256, per_b
     wanted = usable(queries).groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
     wanted = wanted.withColumn("query", F.monotonically_increasing_id()).checkpoint()
     n = max(1, -(-wanted.count() // per_block))
-    spread = partitions(spark)
     packs = wanted.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("query"), F.lit(n)).alias("pack"))
     packs = packs.agg(F.collect_list(F.struct("query", "vec_id", "copies", "v")).alias("queries"))
-    packs = packs.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    blocks = index.withColumn("deal", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int"))
-    blocks = blocks.withColumn("pack", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    blocks, n_blocks, largest = numbered(index)
+    deals, groups = grid(n_blocks, largest, n, partitions(spark))
+    blocks = blocks.select(F.pmod("number", F.lit(deals)).alias("deal"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), *index.columns)
+    packs = packs.mapInArrow(lambda batches: packed(batches, scale), PACK)
+    packs = packs.select(F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"), F.pmod("pack", F.lit(groups)).alias("group"), "*")
+    cells = blocks.unionByName(packs, allowMissingColumns=True).withColumn("cell", (F.col("deal") * groups + F.col("group")).cast("int")).drop("deal", "group")
+    cells = cells.repartitionById(deals * groups, F.col("cell")).sortWithinPartitions("cell", F.col("pack").asc_nulls_first())
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[Block]] = {}
+        cell = None
         for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row)
-                found = []
-                for q in row["queries"]:
-                    vector = whole(np.array(q["v"], np.float64), scale)
-                    ids, score, own = block.top(vector, k + 1, q["vec_id"])
-                    same = [np.full(len(ids), q[c], np.int64) for c in ("query", "vec_id", "copies")]
-                    found.append((*same, ids, score, own))
-                parts = [pa.array(np.concatenate(x)) for x in zip(*found)]
-                yield pa.record_batch(parts, ["query", "query_id", "copies", "vec_id", "score", "own"])
-
-    hits = blocks.join(packs, ["dim", "pack", "deal"]).mapInArrow(look, HITS)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["cell"] != cell:
+                    held, cell = {}, row["cell"]
+                if row["pack"] is None:
+                    held.setdefault(row["dim"], []).append(Block(row))
+                    continue
+                keys = np.frombuffer(row["queries"], "<i8").reshape(-1, 3)
+                weights = np.frombuffer(row["weights"], f"<i{row['width']}").reshape(len(keys), row["dim"])
+                for block in held.get(row["dim"], []):
+                    found = []
+                    for key, vector in zip(keys, weights):
+                        ids, score, own = block.top(vector.astype(np.int64), k + 1, int(key[1]))
+                        found.append((*(np.full(len(ids), x, np.int64) for x in key), ids, score, own))
+                    parts = [pa.array(np.concatenate(x)) for x in zip(*found)]
+                    yield pa.record_batch(parts, ["query", "query_id", "copies", "vec_id", "score", "own"])
+
+    hits = cells.mapInArrow(look, HITS)
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id", F.col("own").desc())
     near = hits.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
     itself = F.min(F.when(F.col("own"), F.col("place"))).over(Window.partitionBy("query"))
