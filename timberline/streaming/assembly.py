@@ -140,6 +140,10 @@ class Assembly:
         lines.unpersist()
         now.unpersist()
 
+    def forget_events(self, spark: SparkSession, last: int) -> None:
+        """Remove the events of the batches up to ``last``, where something else has them."""
+        self._forget(spark, "events", last + 1)
+
     def _forget(self, spark: SparkSession, table: str, first: int) -> None:
         """Remove the folders that no batch, this one run again included, reads any more."""
         root = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")

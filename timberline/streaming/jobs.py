@@ -70,18 +70,31 @@ def index_stream(
 
     Lines of the types that are assembled wait for their event (``time``, ``wait``: see ``Assembly``); all
     others are parsed in the micro-batch that brings them.  ``job`` goes to ``index_events``.
-    ``finish_index`` adds the events that are open at the end.
+    ``finish_index`` adds the events that are open at the end.  The lines of a micro-batch are kept, and its assembled
+    events stored by themselves, until the event store has it.
     """
+    kept: list[DataFrame] = []
+
+    def release() -> None:
+        while kept:
+            kept.pop().unpersist()
 
     def made(batch: DataFrame, number: int) -> DataFrame:
+        release()
         batch = (number_lines(batch) if "block_start" in batch.columns else batch).persist()
+        kept.append(batch)
         done = {}
         for kind, assembly in _assemblies(path, source, time, wait).items():
             assembly.write(batch.where(F.col("type") == kind), number)
             done[kind] = assembly.batch(batch.sparkSession, number).drop("n_lines")
         return indexing.index_events(batch, assembled=done, **job).drop("index_name")
 
-    return EventStore(raw.sparkSession, path).stream(raw, checkpoint, interval, made=made)
+    def stored(number: int) -> None:
+        release()
+        for assembly in _assemblies(path, source, time, wait).values():
+            assembly.forget_events(raw.sparkSession, number)
+
+    return EventStore(raw.sparkSession, path).stream(raw, checkpoint, interval, made=made, stored=stored)
 
 
 def finish_index(spark: SparkSession, path: str, last_batch: int, source: str = "host", **job: object) -> None:

@@ -8,7 +8,7 @@ from timberline.fixtures import lines as L
 from timberline.functions.search import arrived_since, by_query, pick
 from timberline.functions.tags import no_tags, tags_by_type
 from timberline.operators import syslog
-from timberline.session import latest, table
+from timberline.session import latest, table, tidy
 from timberline.sources import storage
 from timberline.sources.store import EventStore
 from timberline.plans.dashboards import CENTRAL
@@ -21,6 +21,8 @@ from timberline.suite.searching import _SERIES, CENTRAL_SQL, SECOND, log_events,
 
 
 BATCHES = 4
+#: Lines of a micro-batch of lines in order, about: more lines come in more batches.
+LINES = 1 << 23
 
 
 def _files(spark, folder, df, name):
@@ -38,15 +40,16 @@ def _files(spark, folder, df, name):
 
 
 def _files_in_order(spark, df, name):
-    """The same, with the parts written one after the other, in line order."""
+    """The same, with the parts written one after the other, in line order; files that a batch has read are removed."""
     path = storage.shared_folder(spark, name)
-    ends = df.agg(F.min("ingest_seq").alias("a"), F.max("ingest_seq").alias("b")).first()
-    width = (ends.b - ends.a) // BATCHES + 1
+    ends = df.agg(F.min("ingest_seq").alias("a"), F.max("ingest_seq").alias("b"), F.count("*").alias("n")).first()
+    batches = max(BATCHES, -(-ends.n // LINES))
+    width = (ends.b - ends.a) // batches + 1
     part = F.floor((F.col("ingest_seq") - ends.a) / width)
-    files = max(1, df.rdd.getNumPartitions() // BATCHES)
-    for i in range(BATCHES):
-        df.filter(part == i).repartition(files).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
+    files = max(1, df.rdd.getNumPartitions() // batches)
+    for i in range(batches):
+        df.filter(part == i).repartition(files).write.option("compression", "zstd").mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).option("cleanSource", "delete").parquet(f"{path}/in")
     return stream, path
 
 
@@ -186,9 +189,10 @@ def stream_index_types(spark, folder):
     documents = L.document_lines(spark, folder).withColumn("received_at", F.lit("2024-01-10").cast("timestamp")).withColumn("tags", no_tags())
     lines = L.syslog_lines(spark, folder).select(*names).unionByName(documents.select(*names))
     lines = lines.unionByName(L.raw_events(spark, folder, F.lit("as it came"), "redis").select(*names))
-    stream, path = _files_in_order(spark, lines, "index")
-    job = _run(jobs.index_stream(stream, f"{path}/out", f"{path}/checkpoint", types=["syslog", "redis"]))
-    jobs.finish_index(spark, f"{path}/out", job.lastProgress["batchId"])
+    with tidy(spark):
+        stream, path = _files_in_order(spark, lines, "index")
+        job = _run(jobs.index_stream(stream, f"{path}/out", f"{path}/checkpoint", types=["syslog", "redis"]))
+        jobs.finish_index(spark, f"{path}/out", job.lastProgress["batchId"])
     events = EventStore(spark, f"{path}/out").scan()
     return events_digest(events, "type", "index_family")
 
