@@ -8,7 +8,7 @@ from timberline.fixtures import lines as L
 from timberline.functions.search import arrived_since, by_query, pick
 from timberline.functions.tags import no_tags, tags_by_type
 from timberline.operators import syslog
-from timberline.session import latest, table, tidy
+from timberline.session import TASK_ROWS, latest, table, tidy
 from timberline.sources import storage
 from timberline.sources.store import EventStore
 from timberline.plans.dashboards import CENTRAL
@@ -40,13 +40,17 @@ def _files(spark, folder, df, name):
 
 
 def _files_in_order(spark, df, name):
-    """The same, with the parts written one after the other, in line order; files that a batch has read are removed."""
+    """The same, with the parts written one after the other, in line order; files that a batch has read are removed.
+
+    Lines are counted for that: to ask a planned table for its tasks would run its shuffles, and keep them.
+    """
     path = storage.shared_folder(spark, name)
     ends = df.agg(F.min("ingest_seq").alias("a"), F.max("ingest_seq").alias("b"), F.count("*").alias("n")).first()
     batches = max(BATCHES, -(-ends.n // LINES))
     width = (ends.b - ends.a) // batches + 1
     part = F.floor((F.col("ingest_seq") - ends.a) / width)
-    files = max(1, df.rdd.getNumPartitions() // batches)
+    lines = -(-ends.n // batches)
+    files = max(1, min(spark.sparkContext.defaultParallelism // 2, lines >> 10), -(-lines // TASK_ROWS))
     for i in range(batches):
         df.filter(part == i).repartition(files).write.option("compression", "zstd").mode("append").parquet(f"{path}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).option("cleanSource", "delete").parquet(f"{path}/in")
